@@ -77,3 +77,9 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.nda
 def run_starts(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of equal values."""
+    first = run_starts(keys).tolist()
+    return list(zip(first, [*first[1:], len(keys)][: len(first)], strict=True))
