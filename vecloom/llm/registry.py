@@ -1,8 +1,8 @@
 """The queries of this package and their SQL."""
 
-from vecloom.llm import packing, substring, tokens_file
+from vecloom.llm import jaccard, packing, substring, tokens_file
 
-_MODULES = [packing, substring, tokens_file]
+_MODULES = [jaccard, packing, substring, tokens_file]
 
 
 def queries() -> dict:
