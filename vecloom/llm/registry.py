@@ -1,8 +1,8 @@
 """The queries of this package and their SQL."""
 
-from vecloom.llm import jaccard, packing, quality, secrets, substring, tokens_file
+from vecloom.llm import jaccard, neighbours, packing, quality, secrets, substring, tokens_file
 
-_MODULES = [jaccard, packing, quality, secrets, substring, tokens_file]
+_MODULES = [jaccard, neighbours, packing, quality, secrets, substring, tokens_file]
 
 
 def queries() -> dict:
