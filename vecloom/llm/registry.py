@@ -1,8 +1,8 @@
 """The queries of this package and their SQL."""
 
-from vecloom.llm import jaccard, neighbours, packing, pages, quality, secrets, substring, tokens_file, toxicity
+from vecloom.llm import jaccard, neighbours, packing, pages, quality, secrets, sentencepieces, substring, tokens_file, toxicity
 
-_MODULES = [jaccard, neighbours, packing, pages, quality, secrets, substring, tokens_file, toxicity]
+_MODULES = [jaccard, neighbours, packing, pages, quality, secrets, sentencepieces, substring, tokens_file, toxicity]
 
 
 def queries() -> dict:

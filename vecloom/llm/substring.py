@@ -14,6 +14,7 @@ a byte or two of place and a share of the document's number.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from vecloom.llm.shared import table
 from vecloom.llm.tokens_file import as_bytes
 from vecloom.llm.wordkit import pieces, run_starts, runs, window_hashes, word_hashes
 
+_SPACED = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _BLOCK = "block int, settled boolean, body binary"
 _SPANS = "home int, body binary"
 
@@ -150,12 +152,13 @@ def covered(places: np.ndarray, n_words: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, n: int = 13, carry: tuple[str, ...] = (), min_blocks: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, carry: tuple[str, ...] = (), layout: bool = False, min_blocks: int = 8) -> DataFrame:
     """docs without the words of passages that a document with a smaller doc_id holds as well.
 
     docs has doc_id and text; columns named in carry are returned too, all others are dropped. Words are runs of
     characters other than ASCII white space; a passage is n words or more. Returns doc_id, carry, n_words, n_removed,
-    kept (the words left, joined by single spaces) and spans (array of start, end in words; end exclusive).
+    kept (the words left, joined by single spaces; with layout, the text without the removed words and the white space
+    behind each) and spans (array of start, end in words; end exclusive).
 
     Null text counts as empty, as does text of white space: no words, nothing removed. Rows of one doc_id do not count
     as earlier than each other; a row with null doc_id is kept whole. No input rows give no rows.
@@ -193,12 +196,13 @@ def remove_repeats(docs: DataFrame, n: int = 13, carry: tuple[str, ...] = (), mi
             hit = places.get((doc, zlib.crc32(text))) if places and doc is not None else None
             n_words.append(len(words))
             if not hit:
-                n_removed.append(0), kept.append(b" ".join(words)), spans_.append([])
+                n_removed.append(0), kept.append(text if layout else b" ".join(words)), spans_.append([])
                 continue
             gone = covered(np.unique(np.concatenate(hit)), len(words), n)
             edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
             n_removed.append(int(gone.sum()))
-            kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
+            whole = _SPACED.findall(text) if layout else words
+            kept.append((b"" if layout else b" ").join([w for w, g in zip(whole, gone.tolist(), strict=True) if not g]))
             spans_.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         out = {"doc_id": rows.column("doc_id")} | {e: rows.column(e) for e in extra}
