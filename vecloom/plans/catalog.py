@@ -1,9 +1,13 @@
-"""The registered queries."""
+"""The registered queries and their SQL."""
+
+from vecloom.plans import embedding_queries
+
+_MODULES = [embedding_queries]
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
