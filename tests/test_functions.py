@@ -1,0 +1,169 @@
+import json
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vecloom.functions import arrays, bpe, geometry, text
+from vecloom.functions import vectors as V
+from vecloom.operators import augment, encoders, losses, samples
+from vecloom.sources import configs, shards, web
+from vecloom.streaming import frames
+
+
+def one(spark, column, **values):
+    return spark.range(1).select(*(v.alias(k) for k, v in values.items())).select(column).first()[0] if values else spark.range(1).select(column).first()[0]
+
+
+def test_vectors_without_direction(spark):
+    df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 2.0]), ([1.0], [1.0, 2.0]), ([], [])], "a array<double>, b array<double>")
+    got = df.select(V.unit(F.col("a")).alias("u"), V.cosine(F.col("a"), F.col("b")).alias("c")).collect()
+    assert [r["c"] for r in got] == [None] * 4
+    assert [r["u"] for r in got] == [None, None, [1.0], None]
+
+
+def test_softmax_and_log_sigmoid(spark):
+    p = one(spark, V.softmax(F.col("v")), v=F.array(F.lit(1000.0), F.lit(1000.0), F.lit(-1000.0)))
+    assert p == [0.5, 0.5, 0.0]
+    assert one(spark, V.log_sigmoid(F.lit(-800.0))) == -800.0
+
+
+def test_teacher_width_of_minus_one_is_whole(spark):
+    assert one(spark, V.part(F.col("v"), [-1], 0), v=F.array(F.lit(1.0), F.lit(2.0))) == [1.0, 2.0]
+
+
+def test_attention_rows_sum_to_one():
+    rng = np.random.default_rng(0)
+    q = rng.standard_normal((2, 5, 4))
+    out = arrays.attention(q, q, np.ones((2, 5, 3)), padding=np.array([[0, 0, 0, 1, 1], [0] * 5], bool))
+    assert np.allclose(out, 1)
+    assert arrays.resize_positions(np.arange(8.0).reshape(4, 2), 8).shape == (8, 2)
+
+
+def test_bpe_round_trip(spark):
+    symbols = bpe.byte_symbols()
+    pieces = [*symbols.values(), *(s + "</w>" for s in symbols.values()), "th", "the</w>", "<|startoftext|>", "<|endoftext|>"]
+    model = bpe.Bpe(bpe.read_merges(["#version", "t h", "th e</w>"]), {p: i for i, p in enumerate(pieces)})
+    assert model.pieces("The th") == ["the</w>", "t", "h</w>"]
+    assert model.decode(model.encode("the été 42")) == "the été 4 2"
+    full = model.encode_full("the " * 200)
+    assert len(full) == 77 and full[-1] == model.end
+    assert spark.createDataFrame([("the",), (None,)], "t string").select(bpe.encode_column(model, F.col("t"))).collect()[0][0] == [pieces.index("the</w>")]
+
+
+def test_frame_cuts_what_does_not_fit(spark):
+    t = one(spark, text.frame(F.sequence(F.lit(1), F.lit(200))))
+    assert len(t) == 77 and t[0] == 49406 and t[76] == 49407
+
+
+def test_score_bucket_edges(spark):
+    got = [one(spark, geometry.score_bucket(F.lit(x))) for x in (0.0, 0.15, 0.22, 0.9)]
+    assert got == [0, 0, 20, 20]
+
+
+def test_brace_lists():
+    assert shards.expand("a{08..11}b") == ["a08b", "a09b", "a10b", "a11b"]
+    assert shards.expand("{x,{1..2}y}/z") == ["x/z", "1y/z", "2y/z"]
+    assert shards.expand("plain") == ["plain"] and shards.expand("{a}") == ["{a}"]
+
+
+def test_tar_round_trip(spark, tmp_path):
+    rows = [("s0", "k1", {"txt": "one", "jpg": "x"}), ("s0", "k2", {"txt": "two"})]
+    df = spark.createDataFrame(rows, "shard string, key string, parts map<string,string>")
+    assert shards.write_tars(df, str(tmp_path)).first()["members"] == 3
+    (tmp_path / "bad.tar").write_bytes(b"no tar")
+    got = shards.read_tars(spark, [str(tmp_path / "*.tar")])
+    assert got.where("error IS NOT NULL").count() == 1
+    whole = samples.grouped(got.where("error IS NULL"))
+    assert whole.where(samples.complete()).count() == 1
+
+
+def test_unknown_names_are_errors(tmp_path):
+    (tmp_path / "a.json").write_text("{}")
+    with pytest.raises(ValueError, match="known: a"):
+        configs.load_config(str(tmp_path), "b")
+    with pytest.raises(ValueError, match="unknown encoder"):
+        encoders.encode("nothing", F.lit(1))
+
+
+def test_encoders_join(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("a",)], "t string").select(encoders.encode("hash64,hash32", F.col("t")).alias("v"))
+    a, b, c = (r["v"] for r in df.collect())
+    assert len(a) == 96 and a == c and a != b
+
+
+def test_results(spark, tmp_path):
+    records = [
+        {"key": "imagenet1k", "dataset": "imagenet1k", "metrics": {"acc1": 0.5, "acc5": 0.8}},
+        {"key": "retrieval/x", "dataset": "x", "metrics": {"mean_recall@1": 0.25}},
+        {"key": "comp/sugarcrepe_a", "dataset": "a", "metrics": {"acc": 1.0}},
+        {"key": "fairness/fairface", "dataset": "f", "metrics": {"acc1": 0.9}},
+        {"key": "wilds/fmow", "dataset": "m", "metrics": {"acc_worst_region": 0.1, "acc_region:0": 0.1, "count_region:0": 4.0, "acc_region:1": float("nan"), "count_region:1": 0.0, "acc_region:2": 0.4, "count_region:2": 12.0}},
+    ]
+    (tmp_path / "m1.jsonl").write_text("\n".join(map(json.dumps, records)))
+    x = configs.read_results(spark, str(tmp_path))
+    assert configs.leaderboard(x).collect()[0].asDict() == {"model": "m1", "average": 28.3, "tasks": 3}
+    worst = configs.worst_groups(x).first()
+    assert worst["worst"] == 0.1 and math.isclose(worst["average"], 0.325)
+
+
+def test_fetch_tells_errors(spark):
+    def get(url, timeout):
+        if url == "b":
+            raise OSError("gone")
+        return url.encode()
+
+    got = {r["url"]: (r["content"], r["error"]) for r in web.fetched(spark.createDataFrame([("a",), ("b",)], "url string"), get=get).collect()}
+    assert got["a"][0] == b"a" and got["b"] == (None, "gone")
+
+
+def test_augmentation_codec_round_trip():
+    config = {"random_resized_crop": {"size": 8}, "rand_augment": {"p": 0.5}, "to_tensor": {}, "normalize": {"mean": [0.5] * 3, "std": [0.5] * 3, "enable": True}, "to_rgb": {}}
+    names = [k for k, _ in augment.composed(config)]
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (32, 40, 3)).astype(np.uint8)
+    for _ in range(20):
+        p = augment.drawn(rng, 40, 32, config)
+        back = augment.from_list(json.loads(json.dumps(augment.to_list(p, names))), names)
+        assert {k: back[k] for k in p if k != "random_resized_crop"} == {k: v for k, v in p.items() if k != "random_resized_crop"}
+        assert np.allclose(augment.applied(image, p, config), augment.applied(image, back, config))
+    assert augment.preprocessed(image, 16).shape == (16, 16, 3)
+
+
+def test_blocks_of_negatives_add_up(spark):
+    rows = [(0, i, j, math.sin(i * 3 + j)) for i in range(6) for j in range(6)]
+    t = spark.createDataFrame(rows, "batch int, i int, j int, s double")
+    whole = losses.sigmoid_loss(t).first()["loss"]
+    off = losses.negative_only(t.where("i div 3 <> j div 3")).first()["total"]
+    on = losses.sigmoid_loss(t.where("i div 3 = j div 3")).first()["loss"] * 6
+    assert math.isclose(whole, (off + on) / 6)
+
+
+def test_training_rows(spark):
+    rows = [(f"k{i}", [0, 1], [f"c{i}", f"d{i}"], {"syn_text": [f"s{i}"], "other": ["x"]}, [[1.0], [2.0]], [[3.0], [4.0]], {"syn_text_emb": [[5.0]]}) for i in range(40)]
+    s = spark.createDataFrame(rows, "key string, paug array<int>, texts array<string>, syn_texts map<string,array<string>>, image_emb array<array<float>>, text_emb array<array<float>>, syn_emb map<string,array<array<float>>>")
+    x = samples.train_rows(s, epoch=3, sequential=True).collect()
+    assert all(r["paug"] == 1 and r["image_emb"] == [2.0] and r["text"][0] == "d" and r["text_emb"] == [4.0] and r["syn_text_emb"] == [5.0] for r in x)
+    mixed = samples.train_rows(s, ratio=0.5).collect()
+    assert 5 < sum(r["text"][0] == "s" for r in mixed) < 35 and all(r["syn_text"] is None for r in mixed)
+    assert all(r["image_emb"] == [] for r in samples.train_rows(s, distill=True).collect())
+
+
+def test_stream_forms_equal_batch_forms(spark, tmp_path):
+    rows = [(i % 5, i, float(i * 37 % 101)) for i in range(120)]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 40 : k * 40 + 40], "u long, event_id long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    whole = spark.createDataFrame(rows, "u long, event_id long, value double")
+    source = spark.readStream.schema("u long, event_id long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = frames.moving_average_stream(source, "u", "value", ["event_id"]).writeStream.outputMode("update").format("memory").queryName("ema").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["u"]: r["average"] for r in spark.sql("SELECT u, max_by(average, n) AS average FROM ema GROUP BY u").collect()}
+    want = {r["u"]: r["average"] for r in frames.moving_average(whole, "u", "value", ["event_id"]).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    q = frames.every_stream(source, "u", ["event_id"], 2).writeStream.outputMode("append").format("memory").queryName("every").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("SELECT u, event_id FROM every").count() == frames.every(whole, ["u"], ["event_id"], 2).count()
+    seen = []
+    frames.live(source, [lambda df, n: seen.append(df.count()), lambda df, n: seen.append(df.count())], ["u"], ["event_id"], str(tmp_path / "c3")).awaitTermination()
+    assert seen == [5] * 6

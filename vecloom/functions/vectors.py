@@ -10,6 +10,11 @@ def double(v: Column | str) -> Column:
     return F.col(v).cast("array<double>") if isinstance(v, str) else v.cast("array<double>")
 
 
+def let(x: Column, use) -> Column:
+    """use(x) with x worked out once; a lambda would work it out again for each element."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -25,8 +30,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column, length: Column | None = None) -> Column:
     """v over its length; a zero vector has none (NULL). Pass a length column that is known already."""
-    n = norm(v) if length is None else length
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    return let(norm(v) if length is None else length, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -40,9 +44,8 @@ def logit_scale(s: Column) -> Column:
 
 def softmax(v: Column) -> Column:
     """Over one array; for rows of a table see operators.losses."""
-    top = F.array_max(v)
-    powers = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / total(powers))
+    powers = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return let(powers, lambda p: let(total(p), lambda s: F.transform(p, lambda x: x / s)))
 
 
 def log_sigmoid(x: Column) -> Column:
@@ -76,9 +79,9 @@ def pool(v: Column, how: str = "mean") -> Column:
 
 
 def layer_norm(v: Column, scale: float = 1.0, shift: float = 0.0, eps: float = 1e-5) -> Column:
-    mean = pool(v)
-    var = F.try_divide(total(F.transform(v, lambda x: (x - mean) * (x - mean))), F.size(v))
-    return F.transform(v, lambda x: (x - mean) / F.sqrt(var + eps) * scale + shift)
+    centred = let(pool(v), lambda mean: F.transform(v, lambda x: x - mean))
+    scaled = lambda c: let(F.sqrt(pool(F.transform(c, lambda x: x * x)) + eps), lambda d: F.transform(c, lambda x: x / d * scale + shift))
+    return let(centred, scaled)
 
 
 def causal_mask(n: Column) -> Column:
