@@ -85,7 +85,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         part, bpe, seen = TaskContext.get().partitionId(), WordBpe(tokenizer, end_id), {}
         for batch in batches:
             texts, sources = as_bytes(batch.column(2)), batch.column(1).to_pylist()
-            for lo, hi in pieces([len(t) for t in texts], 1 << 22):
+            for lo, hi in pieces([len(t) for t in texts], 1 << 21):
                 ids, counts = bpe.encode(texts[lo:hi])
                 start = np.empty(hi - lo, np.int64)
                 for i, (s, n) in enumerate(zip(sources[lo:hi], counts.tolist(), strict=True)):

@@ -55,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partit
         part, start, bpe = TaskContext.get().partitionId(), 0, WordBpe(tokenizer, end_id)
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            for lo, hi in pieces([len(t) for t in texts], 1 << 22):
+            for lo, hi in pieces([len(t) for t in texts], 1 << 21):
                 ids, counts = bpe.encode(texts[lo:hi])
                 upto = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.full(hi - lo, part, np.int32)), pa.array(start + upto - counts), pa.array(counts), list_of(ids, counts)], names=_ROWS.fieldNames())

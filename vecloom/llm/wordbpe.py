@@ -37,7 +37,7 @@ class _Index(dict):
 class WordBpe:
     """limit: the number of words kept; beyond it the table starts anew, which bounds memory and changes no result."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.library, self.end_id, self.limit = Tokenizer.from_file(path), end_id, limit
@@ -74,6 +74,8 @@ class WordBpe:
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
+        if len(self.cores) > self.limit // 2:
+            self.cores = {}
         ids: list[list[int] | None] = []
         hard: list[str] = []
         for word in new:
