@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.shared import table, written
-from vecloom.llm.tokens_file import as_bytes, list_of
+from vecloom.llm.tokens_file import as_bytes
 from vecloom.llm.wordbpe import WordBpe
 from vecloom.llm.wordkit import pieces
 
-_ENCODED = "doc_id long, source string, part int, start_in_part long, doc_tokens long, ids array<int>"
+_ENCODED = "doc_id long, source string, part int, start_in_part long, doc_tokens long, ids binary"
 _PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Rates are whole numbers up to this: targets hold to about one part in a million, and 64 bits suffice for queues of
 #: up to 2**41 tokens.
@@ -76,6 +76,20 @@ class Schedule:
         return tuple(x[keep] for x in (run, lo - start[run], hi - lo, window, before[q, at] + lo - served[q, at]))
 
 
+def as_blobs(ids: np.ndarray, counts: np.ndarray, wide: bool) -> pa.Array:
+    """The ids of each row as little-endian numbers of 16 bits, or 32 if wide: what the JVM moves as one block."""
+    kind = np.dtype("<u4" if wide else "<u2")
+    ends = np.concatenate([[0], np.cumsum(counts) * kind.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids, kind))])
+
+
+def of_blobs(blobs: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What as_blobs made of rows that have ids: all ids, and where each row's begin."""
+    ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    width = int(ends[-1] - ends[0]) // int(counts.sum())
+    return np.frombuffer(blobs.buffers()[2], f"<u{width}", int(counts.sum()), int(ends[0])), (ends[:-1] - ends[0]) // width
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Ids of every row with its place in its partition's part of its source's queue."""
 
@@ -91,7 +105,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 for i, (s, n) in enumerate(zip(sources[lo:hi], counts.tolist(), strict=True)):
                     start[i] = seen.get(s, 0)
                     seen[s] = int(start[i]) + n
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(np.full(hi - lo, part, np.int32)), pa.array(start), pa.array(counts), list_of(ids, counts)], names=["doc_id", "source", "part", "start_in_part", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(np.full(hi - lo, part, np.int32)), pa.array(start), pa.array(counts), as_blobs(ids, counts, bpe.wide)], names=["doc_id", "source", "part", "start_in_part", "doc_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ENCODED)
 
@@ -107,7 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, targe
     last are full.
     """
     spark = docs.sparkSession
-    rows = written(encode(docs, tokenizer, end_id), "pack")
+    rows = written(encode(docs, tokenizer, end_id), "pack", **{"parquet.enable.dictionary#ids": "false"})
     totals = rows.groupBy("part", "source").agg(F.sum("doc_tokens").alias("size"))
     sizes = totals.groupBy("source").agg(F.sum("size").alias("size"))
     top = sizes.orderBy(F.desc("size"), "source").limit(max_queues - 1).collect()  # at most max_queues - 1 rows
@@ -127,12 +141,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, targe
         for b in batches:
             if not b.num_rows:
                 continue
-            lists = b.column("ids")
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4", copy=False)
             start, size = (b.column(c).to_numpy() for c in ("queue_start", "doc_tokens"))
+            flat, at = of_blobs(b.column("ids"), size)
             run, begin, n, window, offset = schedule.cut(b.column("queue").to_numpy().astype(np.int64), start, size)
             lo = at[run] + begin
-            crc = [zlib.crc32(flat[x:y]) for x, y in zip(lo.tolist(), (lo + n).tolist(), strict=True)]
+            crc = [zlib.crc32(flat[x:y].astype("<u4")) for x, y in zip(lo.tolist(), (lo + n).tolist(), strict=True)]
             take = pa.array(run)
             out = [b.column("doc_id").take(take), b.column("source").take(take), pa.array(begin), pa.array(n), pa.array(crc, pa.int64()), pa.array(size[run]), pa.array(window), pa.array(offset)]
             for x in range(0, len(run), 50_000):

@@ -42,6 +42,7 @@ class WordBpe:
 
         self.library, self.end_id, self.limit = Tokenizer.from_file(path), end_id, limit
         self.model = self.library.model
+        self.wide = max(self.library.get_vocab_size(), end_id + 1) > 1 << 16  # else 16 bits hold every id
         alphabet = byte_alphabet()
         self.spelled = {ord(c): "".join(alphabet[b] for b in c.encode()) for c in map(chr, range(256))}
         self.stop = {c: self.library.encode(c, add_special_tokens=False).ids for c in ".,"} | {"": []}
