@@ -37,7 +37,7 @@ class _Index(dict):
 class WordBpe:
     """limit: the number of words kept; beyond it the table starts anew, which bounds memory and changes no result."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 250_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.library, self.end_id, self.limit = Tokenizer.from_file(path), end_id, limit
@@ -50,16 +50,11 @@ class WordBpe:
         self._clear()
 
     def _clear(self) -> None:
-        self.index, self.cores = _Index(), {}
+        self.index = _Index()
         self.index[b""] = 0  # no word: the end of a text
         self.pool, self.used = np.array([self.end_id], np.int32), 1
         self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def _core(self, letters: str) -> list[int]:
-        if (ids := self.cores.get(letters)) is None:
-            ids = self.cores[letters] = [t.id for t in self.model.tokenize(letters.lower().translate(self.spelled))]
-        return ids
-
     def _by_library(self, words: list[str]) -> list[list[int]]:
         """Many words in one call, with a mark between them that no word holds."""
         out: list[list[int]] = []
@@ -74,26 +69,29 @@ class WordBpe:
         return out
 
     def _learn(self) -> None:
+        """The new words' ids go to the pool. No list outlives its word, so the collector finds nothing to walk."""
         new, self.index.new = self.index.new, []
-        if len(self.cores) > self.limit // 2:
-            self.cores = {}
-        ids: list[list[int] | None] = []
-        hard: list[str] = []
-        for word in new:
-            if m := _EASY.fullmatch(text := word.decode()):
-                ids.append(self._core(m[1]) + self.stop[m[2]])
+        easy, tokenize, spelled = _EASY.fullmatch, self.model.tokenize, self.spelled
+        flat, ends, hard, hard_at = [], [], [], []
+        for at, word in enumerate(new):
+            if m := easy(text := word.decode()):
+                flat += [t.id for t in tokenize(m[1].lower().translate(spelled))]
+                flat += self.stop[m[2]]
             else:
-                ids.append(None)
                 hard.append(text)
-        found = iter(self._by_library(hard))
-        ids = [next(found) if x is None else x for x in ids]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+                hard_at.append(at)
+            ends.append(len(flat))
+        sizes, places = np.diff(np.array(ends, np.int64), prepend=0), np.array(hard_at, np.int64)
+        starts = np.array(ends, np.int64) - sizes
+        found = self._by_library(hard)
+        sizes[places] = np.fromiter(map(len, found), np.int64, len(found))
+        starts[places] = len(flat) + np.cumsum(sizes[places]) - sizes[places]
+        for ids in found:
+            flat += ids
         if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], flat, np.empty(len(self.pool) + len(flat), np.int32)])
-        else:
-            self.pool[self.used : self.used + len(flat)] = flat
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + 2 * len(flat), np.int32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.starts = np.concatenate([self.starts, self.used + starts])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.used += len(flat)
 
