@@ -68,3 +68,15 @@ def score_bucket(s: Column, low: float = 0.15, high: float = 0.22, steps: int =
 def rate_text(mean: Column) -> Column:
     """Frames a second and milliseconds, of a mean duration in seconds."""
     return F.struct(F.round(F.try_divide(F.lit(1.0), mean)).cast("int").alias("fps"), (F.round(mean * 10000) / 10).alias("ms"))
+
+
+def fused_branches(kernel: Column, point: Column, identity: bool = True) -> Column:
+    """A square kernel (row by row) with a 1x1 branch, padded, and if asked the identity added at its centre."""
+    centre = F.floor(F.size(kernel) / 2)
+    return F.transform(kernel, lambda k, i: k + F.when(i == centre, point + float(identity)).otherwise(0.0))
+
+
+def fused_mixer(mix: Column, norm: Column, scale: Column) -> Column:
+    """The identity plus scale times the difference of two kernels of one shape."""
+    delta = F.zip_with(mix, norm, lambda m, n: scale * (m - n))
+    return fused_branches(delta, F.lit(0.0))
