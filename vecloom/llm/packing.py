@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.shared import table, written
 from vecloom.llm.tokens_file import as_bytes
-from vecloom.llm.wordbpe import WordBpe
+from vecloom.llm.wordbpe import shared_bpe
 from vecloom.llm.wordkit import pieces
 
 _ENCODED = "doc_id long, source string, part int, start_in_part long, doc_tokens long, ids binary"
@@ -96,7 +96,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, bpe, seen = TaskContext.get().partitionId(), WordBpe(tokenizer, end_id), {}
+        part, bpe, seen = TaskContext.get().partitionId(), shared_bpe(tokenizer, end_id), {}
         for batch in batches:
             texts, sources = as_bytes(batch.column(2)), batch.column(1).to_pylist()
             for lo, hi in pieces([len(t) for t in texts], 1 << 21):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm.shared import shared_dir, table
-from vecloom.llm.wordbpe import WordBpe
+from vecloom.llm.wordbpe import shared_bpe
 from vecloom.llm.wordkit import pieces
 
 #: The file format. Ids are dictionary-coded (a dictionary of at most 49,408 ids, so 16 bits an id before compression);
@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partit
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start, bpe = TaskContext.get().partitionId(), 0, WordBpe(tokenizer, end_id)
+        part, start, bpe = TaskContext.get().partitionId(), 0, shared_bpe(tokenizer, end_id)
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for lo, hi in pieces([len(t) for t in texts], 1 << 21):

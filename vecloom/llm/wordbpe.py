@@ -2,20 +2,24 @@
 
 The file's normaliser and pre-tokeniser never look across white space, so the ids of a text are the ids of its
 white-space-separated words, one after another. Every distinct word is encoded once and kept in a table of bounded
-size; a text is then a gather from that table. Words made of Latin letters, with at most one stop or comma after
-them, need no normaliser but lower case and go straight to the library's model.
+size; a text is then a gather from that table. Words made of Latin letters, with ASCII signs after them or none,
+need no normaliser but lower case and go straight to the library's model.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
 #: Fixed values of the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_EASY = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters, and ASCII signs behind them: not "'", which starts contractions, nor "<", which starts special tokens.
+_EASY = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 _MARK = "\x01"
+_ID = attrgetter("id")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -35,9 +39,10 @@ class _Index(dict):
 
 
 class WordBpe:
-    """limit: the number of words kept; beyond it the table starts anew, which bounds memory and changes no result."""
+    """limit: the number of words kept between calls; beyond it only those met again since the last time stay, at most
+    half of it. That bounds memory and changes no result."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.library, self.end_id, self.limit = Tokenizer.from_file(path), end_id, limit
@@ -45,15 +50,26 @@ class WordBpe:
         self.wide = max(self.library.get_vocab_size(), end_id + 1) > 1 << 16  # else 16 bits hold every id
         alphabet = byte_alphabet()
         self.spelled = {ord(c): "".join(alphabet[b] for b in c.encode()) for c in map(chr, range(256))}
-        self.stop = {c: self.library.encode(c, add_special_tokens=False).ids for c in ".,"} | {"": []}
+        self.signs: dict[str, list[int]] = {"": []}
         self.mark = self.library.encode(_MARK, add_special_tokens=False).ids
-        self._clear()
-
-    def _clear(self) -> None:
         self.index = _Index()
         self.index[b""] = 0  # no word: the end of a text
         self.pool, self.used = np.array([self.end_id], np.int32), 1
-        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.starts, self.sizes, self.hits = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
+
+    def _trim(self) -> None:
+        self.hits[0] = np.iinfo(np.int64).max
+        least, half = 2, self.limit // 2 + 1
+        if np.count_nonzero(self.hits >= least) > half:
+            least = np.partition(self.hits, -half)[-half] + 1
+        stay = np.flatnonzero(self.hits >= least)
+        words = [*self.index]
+        self.index = _Index()
+        self.index.update((words[at], i) for i, at in enumerate(stay.tolist()))
+        sizes = self.sizes[stay]
+        upto = np.cumsum(sizes)
+        self.pool = self.pool[np.repeat(self.starts[stay] - upto + sizes, sizes) + np.arange(upto[-1])]
+        self.starts, self.sizes, self.hits, self.used = upto - sizes, sizes, np.zeros(len(stay), np.int64), len(self.pool)
 
     def _by_library(self, words: list[str]) -> list[list[int]]:
         """Many words in one call, with a mark between them that no word holds."""
@@ -74,9 +90,15 @@ class WordBpe:
         easy, tokenize, spelled = _EASY.fullmatch, self.model.tokenize, self.spelled
         flat, ends, hard, hard_at = [], [], [], []
         for at, word in enumerate(new):
-            if m := easy(text := word.decode()):
-                flat += [t.id for t in tokenize(m[1].lower().translate(spelled))]
-                flat += self.stop[m[2]]
+            if word.isalpha():  # ASCII letters stand for themselves
+                flat.extend(map(_ID, tokenize(word.lower().decode())))
+            elif m := easy(text := word.decode()):
+                flat.extend(map(_ID, tokenize(m[1].lower().translate(spelled))))
+                if (ids := self.signs.get(m[2])) is None:
+                    ids = [t.id for t in tokenize(m[2])]
+                    if len(self.signs) < 10_000:
+                        self.signs[m[2]] = ids
+                flat += ids
             else:
                 hard.append(text)
                 hard_at.append(at)
@@ -98,7 +120,7 @@ class WordBpe:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id after it, and the number of ids of each text."""
         if len(self.index) > self.limit:
-            self._clear()
+            self._trim()
         words: list[bytes] = []
         counts = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -108,7 +130,14 @@ class WordBpe:
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.new:
             self._learn()
+        self.hits = np.bincount(at, minlength=len(self.index)) + np.pad(self.hits, (0, len(self.index) - len(self.hits)))
         sizes = self.sizes[at]
         upto = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.starts[at] - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
         return ids, np.diff(upto[counts - 1], prepend=0) if len(texts) else counts
+
+
+@lru_cache(maxsize=1)
+def shared_bpe(path: str, end_id: int) -> WordBpe:
+    """The tables of this process, which tasks that follow one another in it go on using."""
+    return WordBpe(path, end_id)
