@@ -9,7 +9,6 @@ need no normaliser but lower case and go straight to the library's model.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from operator import attrgetter
 
 import numpy as np
@@ -135,9 +134,3 @@ class WordBpe:
         upto = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.starts[at] - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
         return ids, np.diff(upto[counts - 1], prepend=0) if len(texts) else counts
-
-
-@lru_cache(maxsize=1)
-def shared_bpe(path: str, end_id: int) -> WordBpe:
-    """The tables of this process, which tasks that follow one another in it go on using."""
-    return WordBpe(path, end_id)
