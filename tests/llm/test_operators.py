@@ -211,6 +211,19 @@ def test_main_text():
     assert sum(pages.main_text(p, weights) == t for p, t in held) >= 0.9 * len(held)
 
 
+def test_main_text_keeps_blocks_with_telling_names():
+    weights = pages.fit(pages.labelled_pages())
+    body = "the words of this block go on for a while and then they end"
+    blocks = ['<header class="entry-header"><h1>{}</h1></header>', '<div class="post-header"><h2>{}</h2></div>', '<h2 id="search">{}</h2>', '<section id="related-work"><p>{}</p></section>', '<p class="alert">{}</p>', '<div class="alert alert-info" role="alert"><p>{}</p></div>', '<section id="tags"><p>{}</p></section>', '<p id="comments">one <span class="social">{}</span></p>', '<div class="share-price" data-id="ad"><p>{}</p></div>']
+    told = [f"{i} {body}" for i in range(len(blocks))]
+    article = "".join(b.format(t) for b, t in zip(blocks, told, strict=True))
+    gone = "".join(f'<{box}><p>gone {body}</p></{box.split()[0]}>' for box in ('div class="share-buttons"', "div id='comments'", 'section class="x newsletter-signup"', "ul class=ad", 'div role="search"'))
+    page = f"<html><body><ul><li><a href=x>m</a></ul><article>{article}{gone}</article><footer>x</footer></body></html>"
+    assert pages.main_text(page, weights) == "\n\n".join(told).replace(told[7], f"one {told[7]}")
+    plain = f'<html><body><div class="site-header"><p>gone {body}</p></div><div class="page has-sidebar"><h1 id="login">{told[0]}</h1><p class="notice">{told[1]}</p></div></body></html>'
+    assert pages.main_text(plain, weights) == "\n\n".join(told[:2])
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(1)
     clean = [f"word{i}" for i in range(300)]

@@ -2,8 +2,8 @@
 
 A page is a sequence of words and tags. Words score above zero and tags below, each by its kind, with weights counted
 on labelled pages; one scan finds the contiguous run of the largest sum, and the blocks that it touches are the text.
-Elements that are never part of an article (scripts, menus, forms, and containers whose class or id says so) are cut out
-of the sequence and leave only their tags' scores.
+Elements that are never part of an article (scripts, menus, forms, and containers whose whole class or id says so) are
+cut out of the sequence and leave only their tags' scores; all else is left to the scan.
 """
 
 from __future__ import annotations
@@ -26,12 +26,34 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 RAW = frozenset("script style textarea title xmp".split())
 NEVER = frozenset("head script style noscript template svg canvas iframe object nav footer aside form button select textarea dialog menu title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|promo|sponsor(?:ed)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|social|comments?|disqus|reply|replies|responses|related|recommend(?:ed|ations)?|sidebar|side|rail|menu|nav|navbar|navigation|breadcrumbs?|footer|site-header|page-header|masthead|topbar|header|copyright|widget|toolbar|pagination|pager|tags|search)(?:$|[\s_-])", re.I)
+#: Containers that class, id or role can name as something beside the text; no heading, paragraph or inline element is.
+BOX = frozenset("div section ul ol dl table".split())
+#: A class or an id tells only if all its words do ("share-buttons", not "share-price"): one of these and words of PART.
+ASIDE = frozenset("ad ads advert adverts advertisement promo sponsor sponsored cookie cookies consent gdpr newsletter subscribe signup share sharing social comment comments disqus sidebar navbar breadcrumb breadcrumbs pagination pager".split())
+#: Those that tell only outside of an article, where they can also be names of its own blocks.
+ELSEWHERE = frozenset("banner notice notices alert popup modal overlay login reply replies responses related recommend recommended recommendations side rail menu nav navigation footer header masthead topbar copyright widget toolbar tags search".split())
+PART = frozenset("area bar block bottom box button buttons container form global group icons inner left links list main outer page panel post posts right section site slot thread top unit wrap wrapper".split())
+ROLES = frozenset("navigation search banner menu menubar toolbar dialog alertdialog".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def beside(name: str, attributes: str, article: bool) -> bool:
+    """Whether a container's class, id or role names it as something beside the text."""
+    if name not in BOX:
+        return False
+    for kind, *value in _NAMED.findall(attributes):
+        for called in "".join(value).lower().split():
+            words = {*re.split("[_-]+", called)} - {""}
+            if kind.lower() == "role":
+                if called in ROLES:
+                    return True
+            elif words <= ASIDE | ELSEWHERE | PART and words & (ASIDE if article else ASIDE | ELSEWHERE):
+                return True
+    return False
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, int]]:
     """(kind, text, block) in page order: tags as "t:name", stretches of text as "w:" and the innermost block's name
     ("w:a" inside links). block numbers the blocks of text; text inside cut-out elements is left out."""
@@ -69,8 +91,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, int]]:
                     if n == "p":
                         break
             article = any(n in ("article", "main") for n, _ in stack)
-            named = " ".join(next(filter(None, g), "") for g in _NAMED.findall(m[3]))
-            cut = name in NEVER or name == "header" and not article or name not in ("html", "body", "article", "main") and bool(HINT.search(named))
+            cut = name in NEVER or name == "header" and not article or beside(name, m[3], article)
             if not hidden or cut:
                 yield ("t:cut" if cut else f"t:{name}"), "", block
             if name in RAW:
