@@ -101,6 +101,43 @@ def test_packing(spark, docs, targets):
         assert abs(first["s1"] - 256 * 0.6) <= 2 and abs(first["s0"] - 256 * 0.2) <= 2
 
 
+@pytest.mark.parametrize("targeted", [False, True])
+def test_packing_mixes_every_source(spark, targeted):
+    rows = [(i * 100 + d, " ".join(f"w{(i * 7 + d * k) % 50}" for k in range(40)), f"h{i:02d}") for i in range(50) for d in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    targets = {f"h{i:02d}": float(1 + i % 3) for i in range(0, 50, 2)} if targeted else None
+    got = packing.pack(df, public.path("word_bpe_49k.json"), 2, length=512, targets=targets, max_queues=8).collect()
+    total, filled, in_order = {}, {}, {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        total[r["source"]] = total.get(r["source"], 0) + r["length"]
+        window = filled.setdefault(r["sequence_id"], {})
+        assert r["offset"] == sum(window.values())
+        window[r["source"]] = window.get(r["source"], 0) + r["length"]
+        in_order.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    for x in in_order.values():
+        x = sorted(x)
+        assert [s for s, _, _ in x] == [sum(n for _, n, _ in x[:k]) for k in range(len(x))] and sum(n for _, n, _ in x) == x[0][2]
+    assert len(in_order) == len(rows) and all(sum(w.values()) == 512 for s, w in filled.items() if s != max(filled))
+    weight = targets or total
+    for window in [filled[s] for s in range(len(filled) // 4 if targeted else len(filled) - 1)]:  # until a queue runs dry
+        for source in total:
+            assert abs(window.get(source, 0) - 512 * weight.get(source, 0) / sum(weight.values())) <= 4
+
+
+@pytest.mark.parametrize("n", [1, 5, 40, 700])
+def test_schedule_is_an_order_of_all_tokens(n):
+    rng = np.random.default_rng(n)
+    total = rng.integers(0, 30, n)
+    plan = packing.Schedule(total, rng.integers(0, 5, n), 64, most=8)
+    queue = np.repeat(np.arange(n), total)
+    j = np.concatenate([np.arange(t) for t in total])
+    assert sorted(plan.rank(queue, j).tolist()) == [*range(total.sum())]
+    some = np.flatnonzero(total)
+    run, begin, size, window, offset = plan.cut(some, np.zeros(len(some), np.int64), total[some])
+    places = [w * 64 + o + k for w, o, m in zip(window.tolist(), offset.tolist(), size.tolist(), strict=True) for k in range(m)]
+    assert sorted(places) == [*range(total.sum())] and np.bincount(run, size).tolist() == total[some].tolist()
+
+
 def test_repeats_against_brute_force(docs):
     df, texts = docs
     n = 13

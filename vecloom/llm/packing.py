@@ -31,32 +31,70 @@ _PIECES = "doc_id long, source string, start long, length long, ids_crc32 long,
 RATE_UNIT = 1 << 20
 
 
-class Schedule:
-    """Where the tokens of each queue go. totals: tokens in each queue; weights: the target proportions."""
+#: Queues that one group of a larger schedule holds.
+GROUP = 16
 
-    def __init__(self, totals: np.ndarray, weights: np.ndarray, length: int) -> None:
-        share = np.maximum(np.asarray(weights, float), 0) / max(float(np.sum(weights)), 1e-300)
-        self.rate = np.maximum(1, np.round(share * RATE_UNIT)).astype(np.int64)
-        self.total, self.length = np.asarray(totals, np.int64), length
 
-    def rank(self, queue: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """How many tokens of all queues come before token j of a queue."""
-        out, due, own = j.copy(), 2 * j + 1, self.rate[queue]
-        for s, (rate, total) in enumerate(zip(self.rate, self.total, strict=True)):
-            ahead = np.minimum(total, ((due * rate - (s > queue)) // own + 1) // 2)
-            out += np.where(s == queue, 0, ahead)
+class Schedule:
+    """Where the tokens of each queue go. totals: tokens in each queue; weights: the target proportions.
+
+    Up to `most` queues are served side by side. More are dealt into groups of GROUP, groups into groups, until `most`
+    are left: a group is served as one queue, at the summed weight of its members, and serves them in the same way. So
+    each queue has its rate's share to within a token for every level. A queue that runs dry leaves its share to its
+    group first; groups are made of queues that run dry one after the other, those of weight 0 by themselves."""
+
+    def __init__(self, totals: np.ndarray, weights: np.ndarray, length: int, most: int = 256) -> None:
+        total, weight = np.asarray(totals, np.int64), np.maximum(np.asarray(weights, float), 0)
+        self.length = length
+        self.parent, self.place, self.rate, self.total = [], [], [], []  # by level, from the queues up
+        while True:
+            n = len(total)
+            group, place = np.zeros(n, np.int64), np.arange(n)
+            if top := n <= max(most, GROUP):
+                many = 1
+            else:
+                idle = weight <= 0
+                order = np.lexsort((place, np.where(idle, 0, total / np.where(idle, 1, weight)), idle))
+                at = np.arange(n) - np.where(idle[order], n - idle.sum(), 0)
+                first = -(-int(n - idle.sum()) // GROUP)
+                group[order], place[order] = at // GROUP + np.where(idle[order], first, 0), at % GROUP
+                many = int(group.max()) + 1
+            sums = np.bincount(group, weight, many)
+            rate, held = np.ones((many, place.max(initial=0) + 1), np.int64), np.zeros((many, place.max(initial=0) + 1), np.int64)
+            rate[group, place] = np.maximum(1, np.round(weight / np.maximum(sums[group], 1e-300) * RATE_UNIT)).astype(np.int64)
+            held[group, place] = total
+            self.parent.append(group), self.place.append(place), self.rate.append(rate), self.total.append(held)
+            if top:
+                return
+            total, weight = held.sum(axis=1), sums
+
+    def among(self, level: int, group: np.ndarray, own: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many tokens of a group come before token j of its member `own`."""
+        rates, totals = self.rate[level], self.total[level]
+        out, due, mine = j.copy(), 2 * j + 1, rates[group, own]
+        for s in range(rates.shape[1]):
+            rate, total = (rates[0, s], totals[0, s]) if len(rates) == 1 else (rates[group, s], totals[group, s])
+            ahead = np.minimum(total, ((due * rate - (s > own)) // mine + 1) // 2)
+            out += np.where(s == own, 0, ahead)
         return out
 
-    def served(self, windows: np.ndarray) -> np.ndarray:
-        """[queue, window]: the tokens that a queue has given before a window."""
-        queue = np.repeat(np.arange(len(self.total)), len(windows))
-        goal = np.tile(windows * self.length, len(self.total))
-        lo, hi = np.zeros(len(goal), np.int64), self.total[queue]
+    def rank(self, queue: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many tokens of all queues come before token j of a queue."""
+        for level, (parent, place) in enumerate(zip(self.parent, self.place, strict=True)):
+            j = self.among(level, parent[queue], place[queue], j)
+            queue = parent[queue]
+        return j
+
+    def served(self, level: int, group: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """[row, member]: the tokens that the members of a group have given before its token number `goal`."""
+        n = self.rate[level].shape[1]
+        of, own, want = np.repeat(group, n), np.tile(np.arange(n), len(group)), np.repeat(goal, n)
+        lo, hi = np.zeros(len(want), np.int64), self.total[level][of, own]
         while (live := lo < hi).any():
             mid = (lo + hi) // 2
-            late = self.rank(queue, mid) >= goal
+            late = self.among(level, of, own, mid) >= want
             hi, lo = np.where(live & late, mid, hi), np.where(live & ~late, mid + 1, lo)
-        return lo.reshape(len(self.total), len(windows))
+        return lo.reshape(len(group), n)
 
     def cut(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Pieces of runs of queue tokens (size 1 or more): run, start in the run, length, window, offset there."""
@@ -64,16 +102,20 @@ class Schedule:
         many = last - first + 1
         run = np.repeat(np.arange(len(queue)), many)
         window = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
-        known = np.unique(np.concatenate([window, window + 1]))
-        served = self.served(known)
-        at, after = np.searchsorted(known, window), np.searchsorted(known, window + 1)
-        q = queue[run]
-        lo = np.maximum(start[run], served[q, at])
-        hi = np.minimum(start[run] + size[run], served[q, after])
-        room = np.cumsum(served[:, np.searchsorted(known, known + 1).clip(max=len(known) - 1)] - served, axis=0)
-        before = np.vstack([np.zeros((1, len(known)), np.int64), room[:-1]])
+        n, edge, path = len(run), np.concatenate([window, window + 1]), [np.tile(queue[run], 2)]
+        for parent in self.parent:
+            path.append(parent[path[-1]])
+        goal, before = edge * self.length, np.zeros(n, np.int64)
+        for level in reversed(range(len(self.parent))):  # from the windows' edges down to what each queue has given
+            group, own = path[level + 1], self.place[level][path[level]]
+            _, some, back = np.unique(group * (int(edge.max(initial=0)) + 1) + edge, return_index=True, return_inverse=True)
+            served = self.served(level, group[some], goal[some])
+            ahead = np.cumsum(served, axis=1) - served
+            before += ahead[back[n:], own[n:]] - ahead[back[:n], own[:n]]
+            goal = served[back, own]
+        lo, hi = np.maximum(start[run], goal[:n]), np.minimum(start[run] + size[run], goal[n:])
         keep = hi > lo
-        return tuple(x[keep] for x in (run, lo - start[run], hi - lo, window, before[q, at] + lo - served[q, at]))
+        return tuple(x[keep] for x in (run, lo - start[run], hi - lo, window, before + lo - goal[:n]))
 
 
 def as_blobs(ids: np.ndarray, counts: np.ndarray, wide: bool) -> pa.Array:
@@ -115,8 +157,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, targe
 
     docs has doc_id, text and source; other columns are not read. targets gives the weight of each source (others: 0,
     served at the least rate); by default a source's weight is its number of tokens, so each sequence mirrors the
-    corpus. The max_queues - 1 sources with most tokens have queues of their own, all others share one, which bounds
-    what tasks hold; sharing changes the order of tokens only. Null text is empty (a document of its end id alone); a
+    corpus. Every source has a queue of its own; more than max_queues of them are served in groups (see Schedule), and
+    tasks hold some 50 bytes a source. Null text is empty (a document of its end id alone); a
     null source is the source "". Equal rows are packed each for itself. No rows give no pieces. All sequences but the
     last are full.
     """
@@ -124,15 +166,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, targe
     rows = written(encode(docs, tokenizer, end_id), "pack", **{"parquet.enable.dictionary#ids": "false"})
     totals = rows.groupBy("part", "source").agg(F.sum("doc_tokens").alias("size"))
     sizes = totals.groupBy("source").agg(F.sum("size").alias("size"))
-    top = sizes.orderBy(F.desc("size"), "source").limit(max_queues - 1).collect()  # at most max_queues - 1 rows
-    everything = sizes.agg(F.sum("size")).first()[0] or 0
-    queue_of = {r["source"]: i for i, r in enumerate(top)}
-    total = [r["size"] for r in top] + [everything - sum(r["size"] for r in top)]
-    weight = [targets.get(r["source"], 0) for r in top] + [0] if targets else total
-    schedule = Schedule(np.array(total), np.array(weight), length)
-    known = spark.createDataFrame([*queue_of.items()] or [("", 0)], "source string, queue int")
-    places = totals.join(F.broadcast(known), "source", "left").fillna({"queue": len(top)})
-    places = places.withColumn("before", F.sum("size").over(Window.partitionBy("queue").orderBy("part", "source")) - F.col("size"))
+    # Sources are numbered by size: a range each, in order, and the rows before it.
+    wanted = spark.createDataFrame([(s, float(w)) for s, w in (targets or {}).items()] or [("", 0.0)], "source string, weight double")
+    ranked = sizes.join(F.broadcast(wanted), "source", "left").fillna({"weight": 0.0}).orderBy(F.desc("size"), "source").withColumn("at", F.monotonically_increasing_id())
+    ranked = written(ranked, "sources")
+    known = ranked.select("at", "size", "weight").toPandas().sort_values("at")
+    at, total = known["at"].to_numpy(np.int64), known["size"].to_numpy(np.int64)
+    schedule = Schedule(total, known["weight"].to_numpy(float) if targets else total, length, max_queues)
+    parts, begin = np.unique(at >> 33, return_index=True)
+    begins = spark.createDataFrame([*zip(parts.tolist(), begin.tolist(), strict=True)] or [(0, 0)], "range long, begin long")
+    numbered = ranked.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(begins), "range").select("source", (F.col("begin") + F.col("at") - F.shiftleft("range", 33)).alias("queue"))
+    places = totals.join(F.broadcast(numbered) if len(at) <= 200_000 else numbered, "source")
+    places = places.withColumn("before", F.sum("size").over(Window.partitionBy("queue").orderBy("part")) - F.col("size"))
     places = written(places.select("part", "source", "queue", "before"), "places")
     if places.count() <= 200_000:  # parts times sources: small, or else joined by shuffling
         places = F.broadcast(places)
