@@ -239,6 +239,16 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    x = np.random.default_rng(5).standard_normal((300, 8))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    once = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    find = lambda df: sorted(map(tuple, neighbours.search(df, df.where("vec_id % 50 = 0"), block=100).collect()))
+    want = find(once)
+    assert len(want) == 6 * 20 and len({r[::2] for r in want}) == 6 * 20
+    assert find(once.union(once).union(once.where("vec_id % 3 = 0"))) == want
+
+
 def test_main_text():
     weights = pages.fit(pages.labelled_pages())
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use many cookies here, all of them good for you</div><article><h1>A &amp; B</h1><p>One  two\nthree<br>four</p><p>Five.<p>Six <b>seven</b> eight</p><form>Name <input></form><div class='comments'>bad words here</div></article><footer>&copy; x</footer></body></html>"

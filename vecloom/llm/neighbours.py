@@ -179,11 +179,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.9
     scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"class long, found {_FOUND}")
     # Tables may score one pair in blocks of other shapes, a last bit apart; the sum is taken anew for what is returned.
     merged = scored.groupBy("class").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, tables * (k + 1)).alias("found"))
-    members = x.where("asked").select("vec_id", "v").join(distinct.select("v", "class"), "v").select(F.col("vec_id").alias("query_id"), "class", F.col("v").alias("q"))
+    members = x.where("asked").select("vec_id", "v").distinct().join(distinct.select("v", "class"), "v").select(F.col("vec_id").alias("query_id"), "class", F.col("v").alias("q"))
     pairs = members.join(merged, "class").withColumn("ids", F.array_distinct(F.transform(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), lambda f: f["vec_id"])))
     pairs = pairs.select("query_id", "q", F.explode(F.slice("ids", 1, k + 2)).alias("vec_id"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
-    exact = pairs.join(x.select("vec_id", "v"), "vec_id").select("query_id", "vec_id", dot.alias("score"))
+    exact = pairs.join(x.select("vec_id", "v").distinct(), "vec_id").select("query_id", "vec_id", dot.alias("score"))
     best = exact.groupBy("query_id").agg(F.slice(F.array_sort(F.array_agg(F.struct((-F.col("score")).alias("loss"), "vec_id"))), 1, k).alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("place", "b"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.loss")).alias("score"))
