@@ -131,6 +131,37 @@ def test_augmentation_codec_round_trip():
     assert augment.preprocessed(image, 16).shape == (16, 16, 3)
 
 
+def test_operations_of_rand_augment():
+    x = np.arange(48, dtype=np.uint8).reshape(4, 4, 3) * 4
+    run = lambda op, mag, x=x: augment.applied(x, {"rand_augment": [(op, mag)]}, {"rand_augment": {}})
+    assert np.array_equal(run("Rotate", 90.0), np.rot90(x)) and np.array_equal(run("Identity", 9.0), x)
+    right, down = run("TranslateX", 20.0), run("TranslateY", -20.0)
+    assert np.array_equal(right[:, 1:], x[:, :-1]) and not right[:, 0].any()
+    assert np.array_equal(down[:-1], x[1:]) and not down[-1].any()
+    shear = run("ShearX", 100.0)  # a row's middle moves by itself: 0.5, 1.5, ...
+    assert np.array_equal(shear[0, :3], x[0, 1:]) and np.array_equal(shear[1, :2], x[1, 2:]) and not shear[3].any()
+    assert np.array_equal(run("ShearY", 100.0), run("ShearX", 100.0, x.swapaxes(0, 1)).swapaxes(0, 1))
+    gray = x @ np.array([0.2989, 0.587, 0.114])
+    assert np.allclose(run("Color", -30 / 0.9), gray[..., None].repeat(3, 2))
+    dot = np.zeros((5, 5, 1), np.uint8)
+    dot[2, 2] = 130
+    assert np.allclose(run("Sharpness", -30 / 0.9, dot)[1:4, 1:4, 0], [[10, 10, 10], [10, 50, 10], [10, 10, 10]])
+    assert run("AutoContrast", 0.0)[..., 0].min() == 0 and run("AutoContrast", 0.0)[..., 2].max() == 255
+    flat = np.repeat(np.array([10, 11, 12, 13], np.uint8), 300).reshape(40, 30, 1)
+    assert sorted({*run("Equalize", 0.0, flat).ravel().tolist()}) == [0, 100, 200, 255]
+
+
+def test_cutmix_pastes_the_drawn_box():
+    rng, config, corners = np.random.default_rng(3), {"cutmix": {}}, set()
+    for _ in range(20):
+        p = augment.drawn(rng, 12, 8, config)
+        top, left, bottom, right = p["cutmix"][1]
+        out = augment.applied(np.zeros((8, 12, 3)), p, config, np.ones((8, 12, 3)))
+        assert out.sum() == 3 * (bottom - top) * (right - left) == out[top:bottom, left:right].sum()
+        corners.add((top, left))
+    assert len(corners) > 5
+
+
 def test_blocks_of_negatives_add_up(spark):
     rows = [(0, i, j, math.sin(i * 3 + j)) for i in range(6) for j in range(6)]
     t = spark.createDataFrame(rows, "batch int, i int, j int, s double")

@@ -1,4 +1,4 @@
-"""Augmentation parameters: draw, compress, restore, apply."""
+"""Augmentation parameters: draw, compress, restore, apply."""
 
 from __future__ import annotations
 
@@ -75,7 +75,12 @@ def expanded(samples: DataFrame, n: int) -> DataFrame:
 def drawn(rng: np.random.Generator, width: int, height: int, config: dict[str, dict]) -> dict:
     """Random parameters for one image, by the enabled transforms of config."""
     out: dict = {}
+    rows, columns = height, width  # of the image as it is collated
     for k, v in composed(config):
+        if "size" in v and k in ("random_crop", "random_resized_crop", "center_crop"):
+            rows = columns = v["size"]
+        elif k == "resize":
+            rows, columns = (round(n * v["size"] / min(rows, columns)) for n in (rows, columns))
         if k in NO_PARAMETERS:
             out[k] = ()
         elif k == "random_crop":
@@ -98,12 +103,20 @@ def drawn(rng: np.random.Generator, width: int, height: int, config: dict[str, d
             a = v.get("alpha", 1.0)
             if a > 0 and rng.random() < v.get("p", 1.0):
                 out[k] = float(rng.beta(a, a)) / v.get("div_by", 1.0)
+                if k == "cutmix":
+                    out[k] = (out[k], box(out[k], rows, columns, int(rng.integers(rows)), int(rng.integers(columns))))
     return out
 
 
+def box(lam: float, height: int, width: int, i: int, j: int) -> tuple[int, int, int, int]:
+    """Rows and columns (from, from, to, to) that cutmix replaces around (i, j)."""
+    h, w = (int(n * np.sqrt(1 - lam)) // 2 for n in (height, width))
+    return max(i - h, 0), max(j - w, 0), min(i + h, height), min(j + w, width)
+
+
 def applied(image: np.ndarray, params: dict, config: dict[str, dict], other: np.ndarray | None = None) -> np.ndarray:
     """An image (height, width, channels; 0-255) with stored parameters applied; transforms that params lack are skipped.
-    Colour operations of rand_augment other than brightness, contrast, posterise and solarise leave the image."""
+    Magnitudes of rand_augment are in thirtieths of an operation's range. cutmix: (lambda, box)."""
     x = image
     for k, v in composed(config):
         p = params.get(k)
@@ -137,14 +150,27 @@ def applied(image: np.ndarray, params: dict, config: dict[str, dict], other: np.
         elif k == "mixup" and other is not None:
             x = p * x + (1 - p) * other
         elif k == "cutmix" and other is not None:
-            side = np.sqrt(1 - p)
-            h, w = int(x.shape[0] * side), int(x.shape[1] * side)
-            i, j = (x.shape[0] - h) // 2, (x.shape[1] - w) // 2
+            top, left, bottom, right = p[1]
             x = x.copy()
-            x[i : i + h, j : j + w] = other[i : i + h, j : j + w]
+            x[top:bottom, left:right] = other[top:bottom, left:right]
     return x
 
 
+def sampled(x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The pixels that the given points (of the grid, from 0 at the edge) lie in; 0 outside."""
+    i, j = np.floor(rows + 1e-9).astype(int), np.floor(columns + 1e-9).astype(int)
+    inside = (i >= 0) & (i < x.shape[0]) & (j >= 0) & (j < x.shape[1])
+    return np.where(inside[..., None], x[i.clip(0, x.shape[0] - 1), j.clip(0, x.shape[1] - 1)], 0).astype(x.dtype)
+
+
+def equalized(channel: np.ndarray) -> np.ndarray:
+    counts = np.bincount(channel.ravel(), minlength=256)
+    step = (counts.sum() - counts[counts > 0][-1]) // 255
+    if not step:
+        return channel
+    return ((np.cumsum(counts) - counts + step // 2) // step).clip(0, 255).astype(np.uint8)[channel]
+
+
 def _operation(x: np.ndarray, op: str, mag: float) -> np.ndarray:
     if op == "Brightness":
         return np.clip(x * (1 + mag / 30), 0, 255)
@@ -154,6 +180,34 @@ def _operation(x: np.ndarray, op: str, mag: float) -> np.ndarray:
         return x.astype(np.uint8) & np.uint8(256 - (1 << int(abs(mag) * 4 / 30)))
     if op == "Solarize":
         return np.where(x >= 255 - abs(mag) * 255 / 30, 255 - x, x)
+    i, j = np.meshgrid(np.arange(x.shape[0]) + 0.5, np.arange(x.shape[1]) + 0.5, indexing="ij")
+    if op == "ShearX":
+        return sampled(x, i, j + 0.3 * mag / 30 * i)
+    if op == "ShearY":
+        return sampled(x, i + 0.3 * mag / 30 * j, j)
+    if op == "TranslateX":
+        return sampled(x, i, j - int(150 / 331 * x.shape[1] * mag / 30))
+    if op == "TranslateY":
+        return sampled(x, i - int(150 / 331 * x.shape[0] * mag / 30), j)
+    if op == "Rotate":  # against the clock, by up to 30 degrees
+        c, s, di, dj = np.cos(np.radians(mag)), np.sin(np.radians(mag)), i - x.shape[0] / 2, j - x.shape[1] / 2
+        return sampled(x, s * dj + c * di + x.shape[0] / 2, c * dj - s * di + x.shape[1] / 2)
+    if op in ("Color", "Sharpness"):
+        ratio = 1 + 0.9 * mag / 30
+        if op == "Color":
+            plain = (x @ np.array([0.2989, 0.587, 0.114]))[..., None] if x.shape[2] == 3 else x
+        else:
+            plain = x.astype(np.float64)
+            around = sum(plain[a : a + x.shape[0] - 2, b : b + x.shape[1] - 2] for a in range(3) for b in range(3))
+            plain[1:-1, 1:-1] = (around + 4 * plain[1:-1, 1:-1]) / 13
+        return np.clip(ratio * x + (1 - ratio) * plain, 0, 255)
+    if op == "AutoContrast":
+        lo, hi = x.min(axis=(0, 1)), x.max(axis=(0, 1)).astype(np.float64)
+        return np.where(hi > lo, (x - lo) * (255 / np.where(hi > lo, hi - lo, 1)), x)
+    if op == "Equalize":
+        return np.stack([equalized(c) for c in np.moveaxis(np.clip(np.round(x), 0, 255).astype(np.uint8), 2, 0)], axis=2)
+    if op != "Identity":
+        raise ValueError(f"unknown operation {op}")
     return x
 
 
