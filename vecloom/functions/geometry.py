@@ -1,4 +1,4 @@
-"""Boxes, ranks and other scalar columns."""
+"""Boxes, ranks and other scalar columns."""
 
 from __future__ import annotations
 
