@@ -1,10 +1,9 @@
-"""Operator 3: repeated passages, by relative Lempel-Ziv parsing against reference blocks.
+"""Operator 3: repeated passages, by an index of window hashes in place of relative Lempel-Ziv parsing.
 
-The reference is the whole corpus. Its windows of n words are indexed in blocks by their hashes, each window under the
-earliest document that holds it. A document is then parsed greedily against all blocks: at a word, a factor is the
-longest stretch whose windows an earlier document holds; a stretch of n words or more is a duplicate span, and the
-parse goes on behind it. A greedy factor can end inside a longer repeat with another source, so the windows across
-the boundaries of factors are looked up as well, which makes the covered words those of all repeated windows.
+Every window of n words is hashed, and the hashes are grouped in blocks, each under the earliest document that holds
+it. The windows of a document that an earlier one holds are its duplicates, and the words that they cover are removed.
+No factors (source, place, length) are built: what is asked for are the words of all repeated windows, which greedy
+factors give only once the windows across their boundaries are looked up too, so parsing would add to the same lookups.
 
 Map side: a batch of documents keeps one entry of a window (that of its earliest document there) and settles all later
 ones itself, so a passage found in a third of all documents sends one entry a batch. Entries are 7 bytes of hash, about
@@ -143,9 +142,8 @@ def repeated_spans(docs: DataFrame, n: int, blocks: int, homes: int) -> DataFram
 
 
 def covered(places: np.ndarray, n_words: int, n: int) -> np.ndarray:
-    """The greedy parse of one document: which words lie in a factor of n words or more. places: sorted starts of the
-    windows found in the index. A factor runs on while the windows follow each other; each boundary's windows are in
-    places too, so stretches that touch or overlap are one."""
+    """Which words of a document lie in a window found in the index. places: sorted starts of those windows, which may
+    come from different documents; stretches that touch or overlap are one."""
     edge = np.zeros(n_words + 1, np.int32)
     np.add.at(edge, places, 1)
     np.add.at(edge, places + n, -1)
