@@ -1,8 +1,8 @@
 """Operator 6: toxicity by a chain of classifiers.
 
-Features are the words of a text and their first four to six letters, present or not; those that set toxic labels apart
-best are kept. The chain predicts the categories in order, each by a linear model that also sees the probabilities of
-the categories before it; in training these come from models that did not see the row (out of fold).
+Features are the words of a text and their first four to six letters, present or not. The chain predicts the categories
+in order, each by a linear model over the features that set its own labels apart and the probabilities of the categories
+before it; in training these come from models that did not see the row (out of fold).
 """
 
 from __future__ import annotations
@@ -16,19 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.shared import table
+from vecloom.llm.shared import table, written
 
-#: The chain's order. A toxic row is an insult or shows contempt if it holds such a word, else it is coded.
-CATEGORIES = ["insult", "contempt", "coded", "toxic"]
-#: Fixed word lists.
-INSULT = frozenset("idiot idiots moron morons loser losers clown clowns scum fool fools".split())
-CONTEMPT = frozenset("trash pathetic disgusting worthless stupid garbage dumb".split())
+#: The chain's categories in order, as conditions on the columns of labels. The last one is the verdict.
+CATEGORIES = {"poor": "quality = 0", "toxic": "toxic = 1"}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None) -> set[str]:
     words = set(_WORD.findall((text or "").lower()))
-    return {f"={w}" for w in words if len(w) <= 40} | {w[:n] for w in words for n in (4, 5, 6) if len(w) > n}
+    return {f"={w}" for w in words} | {w[:n] for w in words for n in (4, 5, 6) if len(w) > n}
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -37,11 +34,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 200, penalty: float = 1e-5) -> np.ndarray:
     """Logistic regression by accelerated gradient steps, rare labels weighing up to 2.5 times; the last weight is the
-    constant."""
+    constant. y: 0, 1, or NaN for rows without a label, which have no weight."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = v = np.zeros(x.shape[1], np.float32)
-    y = y.astype(np.float32)
-    weight = np.where(y > 0, np.float32(np.clip((1 - y.mean()) / max(y.mean(), 1e-9), 1, 5)), np.float32(1)) / len(x)
+    told = np.isfinite(y)
+    y, share = np.where(told, y, 0).astype(np.float32), float(y[told].mean()) if told.any() else 0.0
+    weight = told * np.where(y > 0, np.float32(np.clip((1 - share) / max(share, 1e-9), 1, 5)), np.float32(1)) / np.float32(max(told.sum(), 1))
+    weight = weight.astype(np.float32)
     top = np.ones(x.shape[1], np.float32)
     for _ in range(8):  # the largest curvature, by the power method
         top = x.T @ (weight * (x @ top))
@@ -58,32 +57,35 @@ def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sigmoid(x @ w[:-1] + w[-1])
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = 5) -> list[np.ndarray]:
-    """One model per column of labels; fold k holds the rows k, k + folds, ..."""
-    fold, chain = np.arange(len(x)) % folds, []
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = 5, uses: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """One model per column of labels over its columns of x (`uses`; all by default) and the chain before it; fold k
+    holds the rows k, k + folds, ..."""
+    fold, chain, before = np.arange(len(x)) % folds, [], np.zeros((len(x), 0), x.dtype)
     for c in range(labels.shape[1]):
-        y = labels[:, c]
-        chain.append(fit_linear(x, y))
+        y, seen = labels[:, c], np.zeros(len(x))
+        z = np.hstack([x[:, uses[c]] if uses else x, before])
+        chain.append(fit_linear(z, y))
         if c + 1 < labels.shape[1]:
-            seen = np.zeros(len(x))
             for k in range(folds):
                 if (fold == k).any() and (fold != k).any():
-                    seen[fold == k] = predict(fit_linear(x[fold != k], y[fold != k]), x[fold == k])
-            x = np.hstack([x, seen[:, None].astype(x.dtype)])
+                    seen[fold == k] = predict(fit_linear(z[fold != k], y[fold != k]), z[fold == k])
+            before = np.hstack([before, seen[:, None].astype(x.dtype)])
     return chain
 
 
-def run_chain(chain: list[np.ndarray], x: np.ndarray) -> np.ndarray:
-    out = []
-    for w in chain:
-        out.append(predict(w, x))
-        x = np.hstack([x, out[-1][:, None].astype(x.dtype)])
-    return np.stack(out, axis=1).astype(np.float64)
+def run_chain(chain: list[np.ndarray], x: np.ndarray, uses: list[np.ndarray] | None = None) -> np.ndarray:
+    out = np.zeros((len(x), 0), x.dtype)
+    for c, w in enumerate(chain):
+        p = predict(w, np.hstack([x[:, uses[c]] if uses else x, out]))
+        out = np.hstack([out, p[:, None].astype(x.dtype)])
+    return out.astype(np.float64)
 
 
 class Model:
-    def __init__(self, vocabulary: list[str], chain: list[np.ndarray]) -> None:
-        self.place, self.chain = {f: i for i, f in enumerate(vocabulary)}, chain
+    """The features that count, the categories' names, which features each uses, and their linear models in order."""
+
+    def __init__(self, vocabulary: list[str], names: list[str], uses: list[np.ndarray], chain: list[np.ndarray]) -> None:
+        self.place, self.names, self.uses, self.chain = {f: i for i, f in enumerate(vocabulary)}, names, uses, chain
 
     def rows(self, texts: list[str | None]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.place)), np.float32)
@@ -94,57 +96,73 @@ class Model:
         return x
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        return run_chain(self.chain, self.rows(texts)) if self.chain else np.zeros((len(texts), len(CATEGORIES)))
+        return run_chain(self.chain, self.rows(texts), self.uses) if self.chain else np.zeros((len(texts), len(self.names)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, width: int = 768, least: int = 3) -> Model:
-    """A model from the labelled rows of docs (doc_id, text) and labels (doc_id, toxic 0 or 1; nulls are left out).
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, sample: int = 6000, least: int = 3, apart: float = 2.5) -> Model:
+    """A model from the labelled rows of docs (doc_id, text) and labels (doc_id and what categories name).
 
-    sample bounds the labelled rows (by hash of doc_id), width the features, which need `least` rows with them. With no
-    row of either label nothing is ever found toxic.
+    categories: names and conditions on labels, in the chain's order (by default those of CATEGORIES
+    whose column labels has). A condition that is null
+    leaves the row out of that link's fit; labels without doc_id or verdict are left out. Of repeated labels of one
+    doc_id the largest counts, of repeated texts the first in order. sample bounds the labelled rows (by hash of
+    doc_id). A category uses features with `least` rows on either side and log odds `apart` standard errors from zero. If the sample's verdicts are all alike nothing is ever found toxic.
     """
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    categories = categories or {name: told for name, told in CATEGORIES.items() if told.split()[0] in labels.columns}
+    names = [*categories]
+    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.expr(c).cast("int").alias(f"_{i}") for i, c in enumerate(categories.values())))
+    told = told.where(f"doc_id IS NOT NULL AND _{len(names) - 1} IS NOT NULL").groupBy("doc_id").agg(*(F.max(f"_{i}").alias(f"_{i}") for i in range(len(names))))
+    chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    rows = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")  # at most `sample` rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of = (Counter(), Counter())
-            for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                of[toxic].update(features(text))
-            names = [*of[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([of[1][f] for f in names], pa.int64()), pa.array([of[0][f] for f in names], pa.int64())], names=["feature", "bad", "good"])
-
-    total = rows.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
-    if not total["bad"] or not total["good"]:
-        return Model([], [])
-    odds = F.log((F.col("bad") + 0.5) / (total["bad"] + 1.0) * (total["good"] + 1.0) / (F.col("good") + 0.5))
-    counted = rows.mapInArrow(count, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = counted.where(F.col("bad") >= least).orderBy(F.desc(odds * F.col("bad")), "feature").limit(width).select("feature")
-    shape = Model(sorted(r["feature"] for r in best.collect()), [])
+            of = {(c, y): Counter() for c in range(len(names)) for y in (0, 1)}
+            labels_ = [b.column(2 + c).to_pylist() for c in range(len(names))]
+            for text, *ys in zip(b.column(1).to_pylist(), *labels_, strict=True):
+                found = features(text)
+                for c, y in enumerate(ys):
+                    if y is not None:
+                        of[c, y].update(found)
+            for c in range(len(names)):
+                seen = [*{**of[c, 1], **of[c, 0]}]
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(seen), pa.int32()), pa.array(seen, pa.string()), pa.array([of[c, 1][f] for f in seen], pa.int64()), pa.array([of[c, 0][f] for f in seen], pa.int64())], names=["category", "feature", "yes", "no"])
+
+    sums = rows.agg(*(f(F.col(f"_{i}") == y).alias(f"{i}{y}") for i in range(len(names)) for y, f in ((0, F.count_if), (1, F.count_if)))).first()
+    last = len(names) - 1
+    if not sums[f"{last}0"] or not sums[f"{last}1"]:
+        return Model([], names, [], [])
+    yes, no = (F.element_at(F.array(*(F.lit(sums[f"{i}{y}"] + 1.0) for i in range(len(names)))), F.col("category") + 1) for y in (1, 0))
+    odds = F.log((F.col("yes") + 0.5) / yes * no / (F.col("no") + 0.5))
+    error = F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
+    counted = rows.mapInArrow(count, "category int, feature string, yes long, no long").groupBy("category", "feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    best = counted.where((F.greatest("yes", "no") >= least) & (F.abs(odds) >= apart * error)).select("category", "feature").collect()  # features of the sample that pass
+    shape = Model(sorted({r["feature"] for r in best}), names, [], [])
+    uses = [np.array(sorted(shape.place[r["feature"]] for r in best if r["category"] == c), np.int64) for c in range(len(names))]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            bits = np.packbits(shape.rows(texts).astype(bool), axis=1)
-            words = [features(t) for t in texts]
-            insult, contempt = ([not INSULT.isdisjoint(f[1:] for f in w if f[0] == "=") for w in words], [not CONTEMPT.isdisjoint(f[1:] for f in w if f[0] == "=") for w in words])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(insult), pa.array(contempt), b.column(2)], names=["doc_id", "bits", "insult", "contempt", "toxic"])
-
-    seen = rows.mapInArrow(look, "doc_id long, bits binary, insult boolean, contempt boolean, toxic int").collect()  # at most `sample` rows of width / 8 bytes
-    seen.sort(key=lambda r: (r["doc_id"], r["bits"]))
+            bits = np.packbits(shape.rows(b.column(1).to_pylist()).astype(bool), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in bits], pa.binary()), *b.columns[2:]], names=["doc_id", "bits", *b.schema.names[2:]])
+
+    fields = ", ".join(f"_{i} int" for i in range(len(names)))
+    seen = rows.mapInArrow(look, f"doc_id long, bits binary, {fields}").collect()  # at most `sample` rows of a bit a feature
+    seen.sort(key=lambda r: r["doc_id"])
     x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(shape.place)) for r in seen]).astype(np.float32)
-    y = np.array([[r["toxic"] and r["insult"], r["toxic"] and r["contempt"], r["toxic"] and not r["insult"] and not r["contempt"], r["toxic"]] for r in seen], np.float64)
-    return Model([*shape.place], fit_chain(x, y))
+    y = np.array([[np.nan if r[f"_{i}"] is None else r[f"_{i}"] for i in range(len(names))] for r in seen], np.float64)
+    return Model([*shape.place], names, uses, fit_chain(x, y, uses=uses))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs with p_insult, p_contempt, p_coded, p_toxic (double) and is_toxic (p_toxic at least threshold).
+    """docs with a probability p_<category> (double) for each of the model's categories and is_toxic (the last one at
+    least threshold).
 
     Null and empty texts have no features and get the constants' probabilities, like any text without known features.
-    Rows are scored one by one, whole; equal texts alike. Columns of docs named like a result are replaced.
+    Rows are scored one by one, whole; equal texts alike. Columns of docs named like a result are replaced. No rows
+    give no rows.
     """
-    new = [f"p_{c}" for c in CATEGORIES]
+    new = [f"p_{c}" for c in model.names]
     kept = docs.select(*(c for c in docs.columns if c not in [*new, "is_toxic"]))
     names = [*kept.columns, *new]
     at = names.index("text")
@@ -157,7 +175,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(p[:, i]) for i in range(len(new)))], names=names)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [f"{c} double" for c in new])
-    return kept.mapInArrow(run, schema).withColumn("is_toxic", F.col("p_toxic") >= threshold)
+    return kept.mapInArrow(run, schema).withColumn("is_toxic", F.col(new[-1]) >= threshold)
 
 
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
