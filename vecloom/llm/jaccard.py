@@ -235,15 +235,25 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
             keep = pa.array(differ * (100 + percent) <= total * (100 - percent))
             yield b.select(["a", "b"]).filter(keep)
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, sizes = shingle_sets(as_bytes(b.column(0)), n)
+            ends = np.cumsum(sizes)
+            nodes = [node_of(flat[x:y]) if y > x else None for x, y in zip(ends - sizes, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column(0)], names=["node", "text"])
+
     close = pairs.where("NOT star").join(sides[0], "a").join(sides[1], "b").where(fits).select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(bounded, "a long, b long")
     groups = written(components(close.union(pairs.where("star").select("a", "b")), "candidates"), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = groups.join(sizes, "root").join(info.select("node", "doc_id"), "node")
+    # Only components of several blocks are listed, so their table is small and a large component is not dealt by its root.
+    wide = written(groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "wide")
+    members = groups.join(wide, "root", "left").fillna({"blocks": 1}).join(info.select("node", "doc_id"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("node", "doc_id", "root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
     lots = max(16, groups.count() // 1500)
-    held = members.join(picked, "doc_id").select(F.pmod(F.xxhash64("root", "x", "y"), F.lit(lots)).alias("lot"), "root", "x", "y", "node", "text")
+    nameless = picked.where("doc_id IS NULL").select("text").mapInArrow(named, "node long, text string").dropDuplicates(["node"])
+    texts = members.join(picked, "doc_id").unionByName(members.where("doc_id IS NULL").join(nameless, "node"), allowMissingColumns=True)
+    held = texts.select(F.pmod(F.xxhash64("root", "x", "y"), F.lit(lots)).alias("lot"), "root", "x", "y", "node", "text")
 
     def verify(t: pa.Table) -> pa.Table:
         """The links of one lot of blocks, as a spanning forest."""
