@@ -26,8 +26,7 @@ from vecloom.llm.wordkit import pieces
 
 _ENCODED = "doc_id long, source string, part int, start_in_part long, doc_tokens long, ids binary"
 _PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Rates are whole numbers up to this: targets hold to about one part in a million, and 64 bits suffice for queues of
-#: up to 2**41 tokens.
+#: Rates are whole numbers up to this, so targets hold to about one part in a million.
 RATE_UNIT = 1 << 20
 
 
@@ -69,12 +68,18 @@ class Schedule:
             total, weight = held.sum(axis=1), sums
 
     def among(self, level: int, group: np.ndarray, own: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """How many tokens of a group come before token j of its member `own`."""
+        """How many tokens of a group come before token j of its member `own`.
+
+        Of a member of rate q against one of rate r these are (due * q / r + 1) / 2, with due = 2j + 1, and not more than
+        it has. due is split into whole * r + rest and whole held to what uses the member up, so no product exceeds
+        four times a queue's tokens or RATE_UNIT squared: 64 bits suffice for 2**60 tokens."""
         rates, totals = self.rate[level], self.total[level]
-        out, due, mine = j.copy(), 2 * j + 1, rates[group, own]
+        out, mine = j.copy(), rates[group, own]
+        whole, rest = np.divmod(2 * j + 1, mine)
         for s in range(rates.shape[1]):
             rate, total = (rates[0, s], totals[0, s]) if len(rates) == 1 else (rates[group, s], totals[group, s])
-            ahead = np.minimum(total, ((due * rate - (s > own)) // mine + 1) // 2)
+            due = np.minimum(whole, (2 * total + 2) // rate + 1) * rate + (rest * rate - (s > own)) // mine
+            ahead = np.minimum(total, (due + 1) // 2)
             out += np.where(s == own, 0, ahead)
         return out
 
