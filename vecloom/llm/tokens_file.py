@@ -29,6 +29,8 @@ FORMAT = {
     "parquet.enable.dictionary#n_tokens": "false",
     "parquet.enable.dictionary#doc_id": "false",
 }
+#: Bytes of stored input that one range takes.
+RANGE = 128 << 20
 _ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
@@ -41,12 +43,20 @@ def list_of(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids, pa.int32()))
 
 
+def ranges(rows: DataFrame) -> int:
+    """The session's number of shuffle partitions, or more for inputs that the planner knows to be large."""
+    known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-known // RANGE)) if known < 1 << 60 else least  # beyond that the planner does not know it
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None) -> None:
     """Writes the ids of every row of docs (doc_id, text; other columns are not read) under path, in ascending doc_id.
 
-    Rows are dealt by ranges of doc_id, so the order needs no single task. Null text is empty and has the end id
-    alone; rows with equal doc_id stand together, ordered by text; a null doc_id sorts first. An empty input writes an
-    empty table.
+    Rows are dealt by ranges of doc_id and then of the text's hash, so the order needs no single task and many rows of
+    one doc_id none either. There are `partitions` ranges; by default the session's number, or more where the input's
+    estimated size needs them (RANGE bytes each). Null text is empty and has the end id alone; rows with equal doc_id
+    stand together, ordered by their texts' hashes; a null doc_id sorts first. An empty input writes an empty table.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,8 +72,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partit
                 start += int(upto[-1])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = picked.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = picked.repartitionByRange(partitions or ranges(picked), *order[:2]).sortWithinPartitions(*order)
     ordered.mapInArrow(encode, _ROWS).write.options(**FORMAT).parquet(path)
 
 
