@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,7 +35,9 @@ ASIDE = frozenset("ad ads advert adverts advertisement promo sponsor sponsored c
 ELSEWHERE = frozenset("banner notice notices alert popup modal overlay login reply replies responses related recommend recommended recommendations side rail menu nav navigation footer header masthead topbar copyright widget toolbar tags search".split())
 PART = frozenset("area bar block bottom box button buttons container form global group icons inner left links list main outer page panel post posts right section site slot thread top unit wrap wrapper".split())
 ROLES = frozenset("navigation search banner menu menubar toolbar dialog alertdialog".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TAG = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -54,108 +57,195 @@ def beside(name: str, attributes: str, article: bool) -> bool:
     return False
 
 
+def read(page: str) -> list[tuple[str, str, int]]:
+    """The tokens of a page; kinds of words end in "+" where an eighth or more of their block's words are in links."""
+    found, words, links = [*tokens(page)], Counter(), Counter()
+    for kind, text, block in found:
+        if kind[0] == "w" and (n := len(text.split())):
+            words[block] += n
+            links[block] += n * (kind == "w:a")
+    return [(f"{kind}+" if kind[0] == "w" and links[block] * 8 >= words[block] > 0 else kind, text, block) for kind, text, block in found]
+
+
+class Stack:
+    """Open elements, with counts of names, so that what a tag asks for takes the same time at any depth."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool]] = []
+        self.count, self.blocks, self.hidden = Counter(), [], 0
+
+    def push(self, name: str, cut: bool) -> None:
+        self.open.append((name, cut))
+        self.count[name] += 1
+        self.hidden += cut
+        if name not in INLINE:
+            self.blocks.append(name)
+
+    def close(self, name: str) -> None:
+        """Ends the innermost element of that name, if any, and all that it holds."""
+        while self.count[name]:
+            n, cut = self.open.pop()
+            self.count[n] -= 1
+            self.hidden -= cut
+            if n not in INLINE:
+                self.blocks.pop()
+            if n == name:
+                return
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, closing, name, attributes) of every tag in order; comments and declarations have no name, elements of
+    raw text end behind it. A quoted value ends at the next quote of its kind; where none follows in the page the quote
+    stands for itself."""
+    at, open_ended = 0, set()
+    while m := _TAG.search(page, at):
+        begin, at = m.start(), m.end()
+        if m[0] == "<!--":
+            at = end + 3 if (end := page.find("-->", at)) >= 0 else len(page)
+            yield begin, at, False, "", ""
+            continue
+        if not m[2]:
+            at = end + 1 if (end := page.find(">", at)) >= 0 else len(page)
+            yield begin, at, False, "", ""
+            continue
+        while True:
+            stop = _STOP.search(page, at)
+            at = stop.end() if stop else len(page)
+            if not stop or stop[0] == ">":
+                break
+            if stop[0] not in open_ended:
+                if (end := page.find(stop[0], at)) >= 0:
+                    at = end + 1
+                else:
+                    open_ended.add(stop[0])
+        name, attributes = m[2].lower(), page[m.end() : at]
+        if name in RAW and not m[1]:
+            at = close.end() if (close := _CLOSE[name].search(page, at)) else len(page)
+        yield begin, at, bool(m[1]), name, attributes
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, int]]:
     """(kind, text, block) in page order: tags as "t:name", stretches of text as "w:" and the innermost block's name
-    ("w:a" inside links). block numbers the blocks of text; text inside cut-out elements is left out."""
-    stack: list[tuple[str, bool]] = []
-    hidden = links = block = at = 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not hidden:
-            inside = next((name for name, _ in reversed(stack) if name not in INLINE), "")
-            yield ("w:a" if links else f"w:{inside}"), html.unescape(text), block
-        if not m:
-            return
-        at = m.end()
-        if not (name := (m[2] or "").lower()):
+    ("w:a" inside links). block numbers the blocks of text; text inside cut-out elements is left out. Time grows with
+    the page's length, whatever its nesting."""
+    stack, block, at = Stack(), 0, 0
+    for begin, end, closing, name, attributes in tags(page):
+        if begin > at and not stack.hidden:
+            yield ("w:a" if stack.count["a"] else f"w:{stack.blocks[-1] if stack.blocks else ''}"), html.unescape(page[at:begin]), block
+        at = end
+        if not name:
             continue
         if name not in INLINE:
             block += 1
-        elif name == "br" and not hidden:
+        elif name == "br" and not stack.hidden:
             yield "w:", " ", block
-        if m[1]:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, cut = stack.pop()
-                    hidden -= cut
-                    links -= n == "a"
-                    if n == name:
-                        break
-        else:
-            if name in CLOSES_P and any(n == "p" for n, _ in stack):
-                while stack:
-                    n, cut = stack.pop()
-                    hidden -= cut
-                    links -= n == "a"
-                    if n == "p":
-                        break
-            article = any(n in ("article", "main") for n, _ in stack)
-            cut = name in NEVER or name == "header" and not article or beside(name, m[3], article)
-            if not hidden or cut:
-                yield ("t:cut" if cut else f"t:{name}"), "", block
-            if name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif name not in VOID and not m[0].endswith("/>"):
-                stack.append((name, cut))
-                hidden += cut
-                links += name == "a"
+        if closing:
+            stack.close(name)
+            if not stack.hidden:
+                yield f"t:{name}", "", block
             continue
-        if not hidden:
-            yield f"t:{name}", "", block
+        if name in CLOSES_P:
+            stack.close("p")
+        article = bool(stack.count["article"] or stack.count["main"])
+        cut = name in NEVER or name == "header" and not article or beside(name, attributes, article)
+        if not stack.hidden or cut:
+            yield ("t:cut" if cut else f"t:{name}"), "", block
+        if name not in VOID and name not in RAW and not attributes.endswith("/>"):
+            stack.push(name, cut)
+    if at < len(page) and not stack.hidden:
+        yield ("w:a" if stack.count["a"] else f"w:{stack.blocks[-1] if stack.blocks else ''}"), html.unescape(page[at:]), block
 
 
-def fit(labelled: Iterable[tuple[str, str]], smooth: float = 1.0) -> dict[str, float]:
+def fit(labelled: Iterable[tuple[str, str]], smooth: float = 1.0, scales: tuple[float, ...] = (0.5, 1, 1.5, 2, 3, 4, 6)) -> dict[str, float]:
     """Weights of token kinds from (page, main text) pairs: words score the log odds of their kind being main text, at
-    least 0.1; tags score minus the log of one plus their odds of standing elsewhere, at least 0.02 below zero."""
+    least 0.1; tags score minus the log of one plus their odds of standing elsewhere, at least 0.02 below zero, times
+    the scale that gives the most of the pairs' words back with the fewest others."""
+    labelled = [*labelled]
     inside, outside = Counter(), Counter()
     for page, text in labelled:
         known = {_SPACE.sub(" ", b).strip() for b in text.split("\n\n")}
-        read = [*tokens(page)]
+        found = read(page)
         body: dict[int, str] = {}
-        for kind, words, block in read:
+        for kind, words, block in found:
             if kind[0] == "w":
                 body[block] = body.get(block, "") + words
         good = {b for b, t in body.items() if _SPACE.sub(" ", t).strip() in known}
         span = (min(good), max(good)) if good else (0, -1)
-        for kind, words, block in read:
+        for kind, words, block in found:
             n = len(words.split()) if kind[0] == "w" else 1
             (inside if block in good or kind[0] == "t" and span[0] <= block <= span[1] else outside)[kind] += n
     odds = {k: (inside[k] + smooth) / (outside[k] + smooth) for k in {*inside, *outside}}
-    return {k: max(0.1, math.log(o)) if k[0] == "w" else -max(0.02, math.log1p(1 / o)) for k, o in odds.items()}
-
-
-def labelled_pages() -> list[tuple[str, str]]:
-    """Small labelled pages of common layouts: articles in article, main, section or div elements, with menus, notices,
-    link lists, teasers and closing lines around them."""
-    out = []
-    for k in range(24):
-        line = lambda n, j: " ".join(f"w{k}x{j}y{i}" for i in range(n)) + "."  # noqa: B023, E731
-        paragraphs = [line(8 + 7 * ((k + j) % 4), j) for j in range(3 + k % 5)]
-        box = ("article", "main", "section", 'div id="content"')[k % 4]
-        links = "".join(f'<li><a href="/{i}">m{k}{i}</a></li>' for i in range(6))
-        teaser = f"<div><a href='#'>more {k}</a></div>" * (k % 3)
-        article = f"<h1>{line(5, 90)}</h1>" + "".join(f"<p>{'<b>' * (j % 2)}{p}{'</b>' * (j % 2)}</p>" for j, p in enumerate(paragraphs))
-        page = f"<html><body><ul>{links}</ul>{teaser}<{box}>{article}</{box.split()[0]}><div><span>{line(3, 91)}</span></div>{teaser}<table><tr><td>{line(2, 92)}</td></tr></table></body></html>"
-        out.append((page, "\n\n".join([line(5, 90), *paragraphs])))
+    weights = [{k: max(0.1, math.log(o)) if k[0] == "w" else -scale * max(0.02, math.log1p(1 / o)) for k, o in odds.items()} for scale in scales]
+    return max(weights, key=lambda w: agreement((main_text(page, w), text) for page, text in labelled))
+
+
+def agreement(pairs: Iterable[tuple[str, str]]) -> float:
+    """The F score of the words of found texts against those of true ones."""
+    both = found = true = 0
+    for a, b in pairs:
+        x, y = Counter(a.split()), Counter(b.split())
+        both, found, true = both + (x & y).total(), found + x.total(), true + y.total()
+    return 2 * both / max(found + true, 1)
+
+
+#: Layouts of the labelled pages: where the article stands, and how its blocks are written.
+BOXES = ["article", "main", "section", 'div id="content"', 'div class="c7"']
+STYLES = ["p", "div", "sections", "lists", "quotes", "cells"]
+
+
+def labelled_pages(pages: int = 120, seed: int = 1, boxes: list[str] = BOXES, styles: list[str] = STYLES) -> list[tuple[str, str]]:
+    """Small labelled pages, drawn by seed: articles of the given boxes and styles with headings, inline marks and a few
+    links, some blocks of a word or two, among menus, lines of links, teasers with a sentence, bylines, facts in tables and closing lines."""
+    rng, out = random.Random(seed), []
+    for k in range(pages):
+        box, style = boxes[k % len(boxes)], styles[k // len(boxes) % len(styles)]
+        line = lambda a, b: " ".join(f"w{rng.randrange(10**9):x}" for _ in range(rng.randint(a, b)))
+        blocks: list[str] = []
+
+        def block(tag: str, a: int, b: int, blocks: list[str] = blocks, line=line) -> str:
+            blocks.append((line(a, b) if rng.random() < 0.8 else line(1, 2)) + ".")
+            words = blocks[-1].split()
+            if len(words) > 8 and rng.random() < 0.4:
+                at, mark = rng.randrange(len(words)), rng.choice(["b", "em", "code", "a href=/x"])
+                words[at] = f"<{mark}>{words[at]}</{mark.split()[0]}>"
+            return f"<{tag}>{' '.join(words)}</{tag}>"
+
+        body = block("h1", 3, 9)
+        for _ in range(rng.randint(2, 7)):
+            if style == "sections":
+                body += block("h2", 2, 6) + block("p", 10, 60) + block("p", 10, 60)
+            elif style == "lists":
+                body += block("p", 8, 40) + "<ul>" + "".join(block("li", 4, 25) for _ in range(rng.randint(2, 5))) + "</ul>"
+            elif style == "quotes":
+                body += block("p", 8, 50) + block("blockquote", 8, 40) + block("pre", 4, 20)
+            elif style == "cells":
+                body += block("p", 8, 50) + "<table>" + "".join("<tr>" + block("th", 1, 3) + block("td", 2, 12) + "</tr>" for _ in range(rng.randint(1, 4))) + "</table>"
+            else:
+                body += block(style, 10, 70)
+        link = lambda: f'<a href="/{rng.randrange(99)}">{line(1, 3)}</a>'
+        menu = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 12))) + "</ul>"
+        teasers = lambda: "".join(f"<div><h3>{link()}</h3>{f'<p>{line(4, 12)}</p>' if rng.random() < 0.3 else line(4, 12)}{link()}</div>" for _ in range(rng.randint(0, 3)))
+        crumbs = f"<div>{' &gt; '.join(link() for _ in range(rng.randint(2, 4)))}</div>"
+        facts = "<table>" + "".join(f"<tr><td>{link()}</td><td>{line(1, 2)}</td></tr>" for _ in range(rng.randint(0, 3))) + "</table>"
+        page = f"<html><body><div>{menu}</div>{crumbs}{teasers()}<{box}>{body}</{box.split()[0]}><div><span>{line(1, 4)}</span> {link()}</div>{facts}{teasers()}<div>{menu}</div><div>{line(2, 8)} {link()}</div></body></html>"
+        out.append((page, "\n\n".join(blocks)))
     return out
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best run of tokens, joined by an empty line; white space in a block is one space."""
-    read = [*tokens(page)]
+    found = read(page)
     best = total = 0.0
     start, span = 0, (0, 0)
-    for i, (kind, words, _) in enumerate(read):
+    for i, (kind, words, _) in enumerate(found):
         total += weights.get(kind, 0.5) * len(words.split()) if kind[0] == "w" else weights.get(kind, -0.3)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, span = total, (start, i + 1)
     blocks: dict[int, list[str]] = {}
-    wanted = {b for kind, words, b in read[slice(*span)] if kind[0] == "w" and words.strip()}
-    for kind, words, block in read:
+    wanted = {b for kind, words, b in found[slice(*span)] if kind[0] == "w" and words.strip()}
+    for kind, words, block in found:
         if kind[0] == "w" and block in wanted:
             blocks.setdefault(block, []).append(words)
     texts = (_SPACE.sub(" ", "".join(x)).strip() for x in blocks.values())
