@@ -155,7 +155,12 @@ def test_repeats_against_brute_force(docs):
                 gone.update(range(i, i + n))
         assert got[d]["n_words"] == len(w) and got[d]["n_removed"] == len(gone)
         assert got[d]["kept"] == " ".join(x for i, x in enumerate(w) if i not in gone)
-        assert sum(s["end"] - s["start"] for s in got[d]["spans"]) == len(gone)
+        told = set()
+        for f in got[d]["factors"]:
+            told.update(range(f["start"], f["start"] + f["length"]))
+            assert f["length"] >= n and f["source"] < d
+            assert words[f["source"]][f["source_start"] : f["source_start"] + f["length"]] == w[f["start"] : f["start"] + f["length"]]
+        assert told == gone
 
 
 def test_repeated_doc_ids_keep_their_texts(spark):

@@ -1,13 +1,17 @@
-"""Operator 3: repeated passages, by an index of window hashes in place of relative Lempel-Ziv parsing.
-
-Every window of n words is hashed, and the hashes are grouped in blocks, each under the earliest document that holds
-it. The windows of a document that an earlier one holds are its duplicates, and the words that they cover are removed.
-No factors (source, place, length) are built: what is asked for are the words of all repeated windows, which greedy
-factors give only once the windows across their boundaries are looked up too, so parsing would add to the same lookups.
-
-Map side: a batch of documents keeps one entry of a window (that of its earliest document there) and settles all later
-ones itself, so a passage found in a third of all documents sends one entry a batch. Entries are 7 bytes of hash, about
-a byte or two of place and a share of the document's number.
+"""Operator 3: repeated passages by relative Lempel-Ziv parsing against indexed blocks of the corpus.
+
+The reference is the corpus itself, cut into stretches of text: as long as the least hash among the 3-word groups of a
+window of n words (its anchor) stays the same, windows belong to one stretch. A block holds the stretches of some
+anchors, so all places of a window lie in one block, and a document need only be parsed against the blocks of its own
+anchors. In a block, windows are indexed under their earliest document; a match is taken up at a window that an earlier
+document holds, its words are compared one by one, and it is extended while the source goes on alike: a factor, with its
+source, place and length. The windows across a factor's end are looked up in turn, so the next factor may begin inside
+it. Factors meet again at their document, where those that carry on in one source become one; all are n words or more,
+and the words that they cover are removed.
+
+Map side: a lot of documents is parsed against itself first and sends only what is new there, so a passage found in a
+third of all documents sends one stretch a lot. Blocks take stretches in bounded portions and keep what is new, so a
+portion costs no more than the block's distinct windows. Words travel as 40 bits of their hash.
 """
 
 from __future__ import annotations
@@ -25,11 +29,15 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.shared import table
 from vecloom.llm.tokens_file import as_bytes
-from vecloom.llm.wordkit import pieces, run_starts, runs, window_hashes, word_hashes
+from vecloom.llm.wordkit import _WORD_BASE, mix, pieces, powers, run_starts, runs, word_hashes
 
+#: A factor in transit: doc, check, place, windows, and the source's doc and place.
+_FACTOR = ("i8", "u4", "u4", "u4", "i8", "u4")
 _SPACED = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _BLOCK = "block int, settled boolean, body binary"
-_SPANS = "home int, body binary"
+_FACTORS = "home int, body binary"
+#: Words of an anchor; bytes of text that a map task parses at once, and words that a block does.
+ANCHOR, LOT, PORTION = 3, 12 << 20, 3_000_000
 
 
 def _press(*arrays: np.ndarray) -> bytes:
@@ -44,39 +52,113 @@ def _unpress(body: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(raw[a:b], k) for k, a, b in zip(kinds, at[:-1], at[1:], strict=True)]
 
 
-def _new_rows(doc: np.ndarray, check: np.ndarray) -> np.ndarray:
-    return np.union1d(run_starts(doc), run_starts(check)).astype(np.int64)
-
-
-def _pack_places(doc: np.ndarray, check: np.ndarray, place: np.ndarray) -> bytes:
-    """Places grouped by document (and by its text's checksum, which tells rows of one doc_id apart)."""
-    new = _new_rows(doc, check)
-    step = np.diff(place, prepend=0)
-    step[new] = place[new]
-    return _press(doc[new], check[new].astype(np.uint32), np.diff(np.append(new, len(doc))).astype(np.uint32), step.astype(np.uint32))
-
-
-def _unpack_places(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    doc, check, many, step = _unpress(body, "i8", "u4", "u4", "u4")
-    many = many.astype(np.int64)
-    upto = np.cumsum(step.astype(np.int64))
-    first = np.cumsum(many) - many
-    base = upto[first] - step[first] if len(first) else upto
-    return np.repeat(doc, many), np.repeat(check, many), upto - np.repeat(base, many)
-
-
-def repeated_spans(docs: DataFrame, n: int, blocks: int, homes: int) -> DataFrame:
-    """Rows (home, body): places of windows that start in a document with a smaller doc_id too, by home of doc_id."""
-
-    def home_of(doc: np.ndarray) -> np.ndarray:
-        return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % homes
-
-    def send(doc: np.ndarray, check: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        home = home_of(doc)
-        order = np.lexsort((place, check, doc, home))
-        doc, check, place, home = doc[order], check[order], place[order], home[order]
-        for lo, hi in runs(home):
-            yield int(home[lo]), _pack_places(doc[lo:hi], check[lo:hi], place[lo:hi])
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after another."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
+def sums(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    last = max(len(words) - n + 1, 0)
+    total = np.zeros(last, np.uint64)
+    for k, p in enumerate(powers(_WORD_BASE, n)):
+        total += words[k : k + last] * p
+    return mix(total)
+
+
+def anchors(words: np.ndarray, n: int) -> np.ndarray:
+    """The least hash among the ANCHOR-word groups of every run of n words."""
+    k = min(ANCHOR, n)
+    least, width = sums(words, k), 1
+    while 2 * width <= n - k + 1:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    more = n - k + 1 - width
+    return np.minimum(least[: len(least) - more], least[more:]) if more else least
+
+
+class Stretches:
+    """Stretches of text, ordered by document and place: all words, and each one's document (doc, and check of its text,
+    which tells rows of one doc_id apart), place there and number of words."""
+
+    KINDS = ("i8", "u4", "u4", "u4", "u4", "u1")
+
+    def __init__(self, words: np.ndarray, doc: np.ndarray, check: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        self.words, self.doc, self.check, self.place, self.size = words, doc, check, place, size
+        self.start = np.cumsum(size) - size
+
+    def take(self, which: np.ndarray, skip: np.ndarray | int = 0, size: np.ndarray | None = None) -> Stretches:
+        """Parts of stretches: those from word `skip` on, `size` words."""
+        size = self.size[which] if size is None else size
+        return Stretches(self.words[ragged(self.start[which] + skip, size)], self.doc[which], self.check[which], self.place[which] + skip, size)
+
+    def pressed(self) -> bytes:
+        return _press(self.doc, self.check.astype("u4"), self.place.astype("u4"), self.size.astype("u4"), self.words.astype("u4"), (self.words >> np.uint64(32)).astype("u1"))
+
+    @classmethod
+    def read(cls, bodies: list[bytes]) -> Stretches:
+        doc, check, place, size, low, high = (np.concatenate(x) for x in zip(*(_unpress(b, *cls.KINDS) for b in bodies), strict=True))
+        return cls(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), doc, check, place.astype(np.int64), size.astype(np.int64))
+
+    @classmethod
+    def ordered(cls, parts: list[Stretches]) -> Stretches:
+        whole = cls(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("words", "doc", "check", "place", "size")))
+        return whole.take(np.lexsort((whole.place, whole.check, whole.doc)))
+
+
+def factors_of(x: Stretches, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The factors of the stretches against each other: arrays of doc, check, place and windows, and the source's doc and
+    place; then of the windows without an earlier document: stretch and place in it."""
+    many = x.size - n + 1
+    stretch = np.repeat(np.arange(len(many)), many)
+    skip = ragged(np.zeros(len(many), np.int64), many)
+    at = x.start[stretch] + skip
+    h = sums(x.words, n)[at]
+    order = np.argsort(h, kind="stable")
+    new = run_starts(h[order])
+    first = np.empty(len(h), np.int64)  # the window's place of smallest doc
+    first[order] = np.repeat(order[new], np.diff(np.append(new, len(h))))
+    found = np.flatnonzero(x.doc[stretch] != x.doc[stretch[first]])
+    same = np.ones(len(found), bool)
+    for k in range(n):
+        same &= x.words[at[found] + k] == x.words[at[first[found]] + k]
+    found = found[same]
+    fresh = np.ones(len(h), bool)
+    fresh[found] = False
+    source = first[found]
+    s, t = stretch[found], stretch[source]
+    place, origin = x.place[s] + skip[found], x.place[t] + skip[source]
+    goes_on = (np.diff(at[found]) == 1) & (np.diff(origin) == 1) & (np.diff(x.doc[t]) == 0) & (np.diff(x.check[t]) == 0)
+    begin = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(found) else found
+    windows = np.diff(np.append(begin, len(found)))
+    fresh = np.flatnonzero(fresh)
+    return [x.doc[s[begin]], x.check[s[begin]], place[begin], windows, x.doc[t[begin]], origin[begin]], stretch[fresh], skip[fresh]
+
+
+def cut_anew(x: Stretches, stretch: np.ndarray, skip: np.ndarray, n: int, anchor: np.ndarray | None = None) -> tuple[Stretches, np.ndarray]:
+    """The stretches of windows given in order, ending also where their anchors change; and their first windows."""
+    if not len(stretch):
+        return x.take(stretch), stretch
+    ends = (np.diff(stretch) != 0) | (np.diff(skip) != 1)
+    if anchor is not None:
+        ends |= anchor[1:] != anchor[:-1]
+    begin = np.flatnonzero(np.concatenate([[True], ends]))
+    return x.take(stretch[begin], skip[begin], np.diff(np.append(begin, len(stretch))) + n - 1), begin
+
+
+def home_of(doc: np.ndarray, homes: int) -> np.ndarray:
+    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % homes
+
+
+def factor_rows(docs: DataFrame, n: int, blocks: int, homes: int) -> DataFrame:
+    """Rows (home, body): factors against documents of smaller doc_id, by home of doc_id."""
+
+    def send(factors: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        home = home_of(factors[0], homes)
+        order = np.argsort(home, kind="stable")
+        for lo, hi in runs(home[order]):
+            at = order[lo:hi]
+            yield int(home[at[0]]), _press(*(f[at].astype(k) for f, k in zip(factors, _FACTOR, strict=True)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,69 +166,61 @@ def repeated_spans(docs: DataFrame, n: int, blocks: int, homes: int) -> DataFram
             ids = batch.column(0).to_numpy()[order]
             texts = as_bytes(batch.column(1))
             texts = [texts[i] for i in order]
-            checks = np.array([zlib.crc32(t) for t in texts], np.uint32)
-            parts = []
-            for lo, hi in pieces([len(t) for t in texts]):
-                h, text, place = window_hashes(*word_hashes(texts[lo:hi]), n)
-                parts.append((h, (text + lo).astype(np.int32), place.astype(np.int32)))
-            h, text, place = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64),) * 3
-            if not len(h):
-                continue
-            order = np.argsort(h, kind="stable")
-            new = run_starts(h[order])
-            first = ids[text[order][new]]
-            later = np.empty(len(h), bool)
-            later[order] = ids[text[order]] != np.repeat(first, np.diff(np.append(new, len(h))))
-            rows = [(home % blocks, True, home.to_bytes(4, "little") + body) for home, body in send(ids[text[later]], checks[text[later]], place[later].astype(np.int64))]
-            own = np.flatnonzero(~later)
-            block = (h[own] >> np.uint64(56)).astype(np.int64) * blocks >> 8 if blocks <= 256 else (h[own] % np.uint64(blocks)).astype(np.int64)
-            order = own[np.argsort(block, kind="stable")]
-            block = np.sort(block)
-            for lo, hi in runs(block):
-                x = order[lo:hi]
-                low = h[x]
-                hashes = low.tobytes() if blocks > 256 or blocks & (blocks - 1) else np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-                places = _pack_places(ids[text[x]], checks[text[x]], place[x].astype(np.int64))
-                rows.append((int(block[lo]), False, len(places).to_bytes(4, "little") + places + hashes))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["block", "settled", "body"])
+            for lo, hi in pieces([len(t) for t in texts], LOT):
+                checks = np.array([zlib.crc32(t) for t in texts[lo:hi]], np.uint32)
+                words, counts = (np.concatenate(x) for x in zip(*(word_hashes(texts[lo + a : lo + b]) for a, b in pieces([len(t) for t in texts[lo:hi]])), strict=True))
+                words &= np.uint64((1 << 40) - 1)
+                long = np.flatnonzero(counts >= n)
+                x = Stretches(words, ids[lo:hi], checks, np.zeros(hi - lo, np.int64), counts).take(long)
+                if not len(long):
+                    continue
+                found, stretch, skip = factors_of(x, n)
+                rows = [(home % blocks, True, home.to_bytes(4, "little") + body) for home, body in send(found)]
+                anchor = anchors(x.words, n)[x.start[stretch] + skip]
+                fresh, begin = cut_anew(x, stretch, skip, n, anchor)
+                block = (anchor[begin] % np.uint64(blocks)).astype(np.int64)
+                del x, words, anchor, found, stretch, skip
+                order_ = np.argsort(block, kind="stable")
+                block = block[order_]
+                rows += [(int(block[a]), False, fresh.take(order_[a:b]).pressed()) for a, b in runs(block)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["block", "settled", "body"])
 
     def resolve(block: pa.Table) -> pa.Table:
-        """All entries of one block of the index: those whose window has an earlier document."""
-        out, hashes, docs_, checks, places = [], [], [], [], []
-        for settled, body in zip(block.column("settled").to_pylist(), block.column("body").to_pylist(), strict=True):
+        """All stretches of one block, in portions: factors against the earliest documents; what is new stays."""
+        out, known, some, size = [], [], [], 0
+        bodies = block.column("body").to_pylist()
+        for i, (settled, body) in enumerate(zip(block.column("settled").to_pylist(), bodies, strict=True)):
             if settled:
                 out.append((int.from_bytes(body[:4], "little"), body[4:]))
-                continue
-            size = int.from_bytes(body[:4], "little")
-            d, c, p = _unpack_places(body[4 : 4 + size])
-            raw = np.frombuffer(body, np.uint8, offset=4 + size)
-            if len(raw) == 8 * len(d):
-                hashes.append(raw.view(np.uint64))
             else:
-                wide = np.zeros((len(d), 8), np.uint8)
-                wide[:, :7] = raw.reshape(-1, 7)
-                hashes.append(wide.view(np.uint64).ravel())
-            docs_.append(d), checks.append(c), places.append(p.astype(np.int32))
-        if hashes:
-            h, d, c, p = (np.concatenate(x) for x in (hashes, docs_, checks, places))
-            order = np.argsort(h, kind="stable")
-            new = run_starts(h[order])
-            first = np.minimum.reduceat(d[order], new)
-            late = np.empty(len(h), bool)
-            late[order] = d[order] != np.repeat(first, np.diff(np.append(new, len(h))))
-            out += send(d[late], c[late], p[late].astype(np.int64))
+                some.append(Stretches.read([body]))
+                size += len(some[-1].words)
+            if some and (size >= PORTION or i + 1 == len(bodies)):
+                x = Stretches.ordered(known + some)
+                found, stretch, skip = factors_of(x, n)
+                out += send(found)
+                known, some, size = [cut_anew(x, stretch, skip, n)[0]] if i + 1 < len(bodies) else [], [], 0
         return pa.table({"home": pa.array([x[0] for x in out], pa.int32()), "body": pa.array([x[1] for x in out], pa.binary())})
 
     picked = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(index, _BLOCK).groupBy("block").applyInArrow(resolve, _SPANS)
+    return picked.mapInArrow(index, _BLOCK).groupBy("block").applyInArrow(resolve, _FACTORS)
+
+
+def joined(place: np.ndarray, windows: np.ndarray, source: np.ndarray, origin: np.ndarray) -> np.ndarray:
+    """The factors of one document in order, as rows of place, windows, source and place there: those that carry on where
+    another ends, in the same source, are one."""
+    place, windows, source, origin = np.unique(np.stack([place, windows, source, origin], axis=1), axis=0).T  # rows may repeat
+    ends = place[:-1] + windows[:-1]
+    apart = (place[1:] != ends) | (source[1:] != source[:-1]) | (origin[1:] != origin[:-1] + windows[:-1])
+    begin = np.flatnonzero(np.concatenate([[True], apart]))
+    return np.stack([place[begin], np.add.reduceat(windows, begin), source[begin], origin[begin]], axis=1)
 
 
-def covered(places: np.ndarray, n_words: int, n: int) -> np.ndarray:
-    """Which words of a document lie in a window found in the index. places: sorted starts of those windows, which may
-    come from different documents; stretches that touch or overlap are one."""
+def covered(factors: np.ndarray, n_words: int, n: int) -> np.ndarray:
+    """Which of a document's words lie in its factors."""
     edge = np.zeros(n_words + 1, np.int32)
-    np.add.at(edge, places, 1)
-    np.add.at(edge, places + n, -1)
+    np.add.at(edge, factors[:, 0], 1)
+    np.add.at(edge, factors[:, 0] + factors[:, 1] + n - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -156,22 +230,23 @@ def remove_repeats(docs: DataFrame, n: int = 13, carry: tuple[str, ...] = (), la
     docs has doc_id and text; columns named in carry are returned too, all others are dropped. Words are runs of
     characters other than ASCII white space; a passage is n words or more. Returns doc_id, carry, n_words, n_removed,
     kept (the words left, joined by single spaces; with layout, the text without the removed words and the white space
-    behind each) and spans (array of start, end in words; end exclusive).
+    behind each) and factors (array of start and length in words, source, the doc_id that holds the same words, and
+    source_start there; each is n words or more, and they may overlap).
 
     Null text counts as empty, as does text of white space: no words, nothing removed. Rows of one doc_id do not count
     as earlier than each other; a row with null doc_id is kept whole. No input rows give no rows.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 << max(int(math.log2(min_blocks)), math.ceil(math.log2(max(size, 1) / (12 << 20))))  # about two million windows a block
+    blocks = 1 << max(int(math.log2(min_blocks)), math.ceil(math.log2(max(size, 1) / (12 << 20))))  # about two million words of text a block
     homes = blocks
-    spans = repeated_spans(picked, n, blocks, homes)
+    found = factor_rows(picked, n, blocks, homes)
     extra = [f.name for f in picked.schema.fields[2:]]
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy()
-            home = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % homes
+            home = home_of(ids, homes)
             packer = zstandard.ZstdCompressor(level=3)
             texts = [packer.compress(t) for t in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), b.column(0), pa.array(texts, pa.binary()), *b.columns[2:]], names=["home", "doc_id", "z", *extra])
@@ -180,34 +255,35 @@ def remove_repeats(docs: DataFrame, n: int = 13, carry: tuple[str, ...] = (), la
     pressed = picked.mapInArrow(press, f"home int, doc_id long, z binary{kinds}")
 
     def parse(rows: pa.Table, found: pa.Table) -> pa.Table:
-        places: dict[tuple[int, int], list[np.ndarray]] = {}
-        for body in found.column("body").to_pylist():
-            d, c, p = _unpack_places(body)
-            new = _new_rows(d, c)
-            for lo, hi in zip(new, [*new[1:], len(d)][: len(new)], strict=True):
-                places.setdefault((int(d[lo]), int(c[lo])), []).append(p[lo:hi])
-        n_words, n_removed, kept, spans_ = [], [], [], []
+        of: dict[tuple[int, int], tuple[int, int]] = {}
+        if bodies := found.column("body").to_pylist():
+            d, c, *rest = (np.concatenate(x) for x in zip(*(_unpress(b, *_FACTOR) for b in bodies), strict=True))
+            order = np.lexsort((c, d))
+            d, c, rest = d[order], c[order], [x[order].astype(np.int64) for x in rest]
+            new = np.union1d(run_starts(d), run_starts(c)).astype(np.int64).tolist()
+            of = {(int(d[lo]), int(c[lo])): (lo, hi) for lo, hi in zip(new, [*new[1:], len(d)], strict=True)}
+        n_words, n_removed, kept, factors = [], [], [], []
         unpack = zstandard.ZstdDecompressor()
         for doc, z in zip(rows.column("doc_id").to_pylist(), rows.column("z").to_pylist(), strict=True):
             text = unpack.decompress(z)
             words = text.split()
-            hit = places.get((doc, zlib.crc32(text))) if places and doc is not None else None
+            hit = of.get((doc, zlib.crc32(text))) if of and doc is not None else None
             n_words.append(len(words))
             if not hit:
-                n_removed.append(0), kept.append(text if layout else b" ".join(words)), spans_.append([])
+                n_removed.append(0), kept.append(text if layout else b" ".join(words)), factors.append([])
                 continue
-            gone = covered(np.unique(np.concatenate(hit)), len(words), n)
-            edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+            own = joined(*(x[slice(*hit)] for x in rest))
+            gone = covered(own, len(words), n)
             n_removed.append(int(gone.sum()))
             whole = _SPACED.findall(text) if layout else words
             kept.append((b"" if layout else b" ").join([w for w, g in zip(whole, gone.tolist(), strict=True) if not g]))
-            spans_.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            factors.append([{"start": a, "length": w + n - 1, "source": s, "source_start": o} for a, w, s, o in own.tolist()])
+        kind = pa.list_(pa.struct([(f, pa.int64()) for f in ("start", "length", "source", "source_start")]))
         out = {"doc_id": rows.column("doc_id")} | {e: rows.column(e) for e in extra}
-        return pa.table(out | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans_, span)})
+        return pa.table(out | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "factors": pa.array(factors, kind)})
 
-    schema = f"doc_id long{kinds}, n_words long, n_removed long, kept string, spans array<struct<start: long, end: long>>"
-    out = pressed.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(parse, schema)
+    schema = f"doc_id long{kinds}, n_words long, n_removed long, kept string, factors array<struct<start: long, length: long, source: long, source_start: long>>"
+    out = pressed.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(parse, schema)
     return out.withColumnsRenamed(dict(zip(extra, carry, strict=True)))
 
 
