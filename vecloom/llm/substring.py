@@ -81,7 +81,7 @@ class Stretches:
     """Stretches of text, ordered by document and place: all words, and each one's document (doc, and check of its text,
     which tells rows of one doc_id apart), place there and number of words."""
 
-    KINDS = ("i8", "u4", "u4", "u4", "u4", "u1")
+    KINDS = ("i8", "u4", "u4", "u4", "u4", "u1", "u1")
 
     def __init__(self, words: np.ndarray, doc: np.ndarray, check: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
         self.words, self.doc, self.check, self.place, self.size = words, doc, check, place, size
@@ -93,12 +93,22 @@ class Stretches:
         return Stretches(self.words[ragged(self.start[which] + skip, size)], self.doc[which], self.check[which], self.place[which] + skip, size)
 
     def pressed(self) -> bytes:
-        return _press(self.doc, self.check.astype("u4"), self.place.astype("u4"), self.size.astype("u4"), self.words.astype("u4"), (self.words >> np.uint64(32)).astype("u1"))
+        """As bytes: the distinct words, often ones first, and each word's number there, its low bytes first."""
+        known, at, many = np.unique(self.words, return_inverse=True, return_counts=True)
+        order = np.argsort(-many, kind="stable")
+        rank = np.empty(len(known), "u4")
+        rank[order] = np.arange(len(known))
+        known = known[order]
+        numbers = rank[at].view("u1").reshape(-1, 4)[:, : max(1, -(-len(known).bit_length() // 8))]
+        return _press(self.doc, self.check.astype("u4"), self.place.astype("u4"), self.size.astype("u4"), known.astype("u4"), (known >> np.uint64(32)).astype("u1"), numbers.T.copy())
 
     @classmethod
-    def read(cls, bodies: list[bytes]) -> Stretches:
-        doc, check, place, size, low, high = (np.concatenate(x) for x in zip(*(_unpress(b, *cls.KINDS) for b in bodies), strict=True))
-        return cls(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), doc, check, place.astype(np.int64), size.astype(np.int64))
+    def read(cls, body: bytes) -> Stretches:
+        doc, check, place, size, low, high, numbers = _unpress(body, *cls.KINDS)
+        size = size.astype(np.int64)
+        at = np.zeros((int(size.sum()), 4), "u1")
+        at[:, : len(numbers) // max(len(at), 1)] = numbers.reshape(-1, len(at)).T if len(at) else 0
+        return cls((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))[at.view("u4").ravel()], doc, check, place.astype(np.int64), size)
 
     @classmethod
     def ordered(cls, parts: list[Stretches]) -> Stretches:
@@ -193,7 +203,7 @@ def factor_rows(docs: DataFrame, n: int, blocks: int, homes: int) -> DataFrame:
             if settled:
                 out.append((int.from_bytes(body[:4], "little"), body[4:]))
             else:
-                some.append(Stretches.read([body]))
+                some.append(Stretches.read(body))
                 size += len(some[-1].words)
             if some and (size >= PORTION or i + 1 == len(bodies)):
                 x = Stretches.ordered(known + some)
