@@ -90,6 +90,44 @@ def causal_mask(n: Column) -> Column:
     return F.transform(places, lambda i: F.transform(places, lambda j: F.when(j > i, F.lit(float("-inf"))).otherwise(F.lit(0.0))))
 
 
+def joined(*vectors: Column) -> Column:
+    """One after another; NULL if one of them is."""
+    return F.concat(*vectors)
+
+
+def attention(q: Column, k: Column, v: Column, causal: bool = False) -> Column:
+    """softmax(q k' / sqrt(d)) v of matrices given by rows; causal: row i sees rows up to i only. No keys, no rows."""
+
+    def row(x: Column, i: Column) -> Column:
+        keys, values = (F.slice(m, F.lit(1), i + 1) if causal else m for m in (k, v))
+        weights = softmax(F.transform(keys, lambda y: dot(x, y) / F.sqrt(F.size(x))))
+        places = F.sequence(F.lit(0), F.size(F.get(v, 0)) - 1)
+        return let(weights, lambda w: F.transform(places, lambda j: total(F.zip_with(w, values, lambda a, r: a * F.get(r, j)))))
+
+    return F.when(F.size(k) > 0, F.transform(q, row)).otherwise(F.array().cast("array<array<double>>"))
+
+
+def resized_rows(rows: Column, n: int) -> Column:
+    """A matrix of n rows, by linear interpolation between the centres of the given ones; unchanged if there are n."""
+    m = F.size(rows)
+
+    def row(i: Column) -> Column:
+        at = F.least(F.greatest((i + 0.5) * m / n - 0.5, F.lit(0.0)), (m - 1).cast("double"))
+        lo = F.floor(at).cast("int")
+        return F.zip_with(F.get(rows, lo), F.get(rows, F.least(lo + 1, m - 1)), lambda a, b: a * (1 - (at - lo)) + b * (at - lo))
+
+    return F.when(m == n, rows).when(m > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), row))
+
+
+def half(x: Column) -> Column:
+    """The nearest number of 16 bits (10 of fraction), ties to even; beyond 65504 infinity."""
+    size = F.abs(x)
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)), F.lit(-14)) - 10)
+    near = F.bround(x / step) * step
+    wide = F.when(x > 0, float("inf")).otherwise(float("-inf"))
+    return F.when((size == 0) | F.isnan(x) | (size == float("inf")), x).when(size >= 65520, wide).otherwise(near)
+
+
 def affine(v: Column, mean: list[float], std: list[float]) -> Column:
     """(x - mean) / std, by channel: element i belongs to channel i modulo the number of channels."""
     k = len(mean)

@@ -6,10 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.functions import vectors as V
+from vecloom.functions.geometry import cutmix_box
+from vecloom.operators.samples import chosen, draw
+
 #: Fixed orders: the operations of a RandAugment entry, and the transforms of a composition.
 OPERATIONS = ["Identity", "ShearX", "ShearY", "TranslateX", "TranslateY", "Rotate", "Brightness", "Color", "Contrast", "Sharpness", "Posterize", "Solarize", "AutoContrast", "Equalize"]
 ORDER = ["uint8", "resize", "center_crop", "random_crop", "random_resized_crop", "random_horizontal_flip", "rand_augment", "to_tensor", "normalize", "random_erasing", "mixup", "cutmix"]
 NO_PARAMETERS = ["uint8", "resize", "center_crop", "to_tensor", "normalize"]
+GREY = np.array([0.2989, 0.587, 0.114])
 AFTER_COLLATE = ["mixup", "cutmix"]
 
 
@@ -67,6 +72,29 @@ def from_list(entry: list, names: list[str], mixing: bool = False) -> dict:
     return out
 
 
+def mixed_batch(rows: DataFrame, size: int, classes: int, choices: dict[str, float], by: Column | None = None, side: int = 8) -> DataFrame:
+    """rows (batch, pos, v: a flat image of `side` columns, label) mixed with the row at the other end of their batch of
+    `size`: v, target (shares of classes), kind. choices names mixup and cutmix with their lambda; one of them is drawn
+    for each batch. cutmix replaces a centred box, and its labels go by the box's true area. A row without partner (in a
+    partial batch) stays as it is, of kind "none"."""
+    names = F.array(*map(F.lit, choices))
+    other = rows.select("batch", (size - 1 - F.col("pos")).alias("pos"), F.col("v").alias("_v"), F.col("label").alias("_label"))
+    x = rows.join(other, ["batch", "pos"], "left").withColumn("kind", F.when(F.col("_v").isNull(), "none").otherwise(chosen(names, draw(F.col("batch") if by is None else by, seed=5))))
+    height = F.size("v") / side
+    cut = F.lit(choices.get("cutmix", 1.0))
+    b = cutmix_box(F.lit(side), height.cast("int"), cut, F.lit(side // 2), F.floor(height / 2).cast("int"))
+    x = x.withColumn("_box", b)
+    i, j = (lambda at: F.floor(at / side)), (lambda at: at % side)
+    inside = lambda at: (j(at) >= F.col("_box.x1")) & (j(at) < F.col("_box.x2")) & (i(at) >= F.col("_box.y1")) & (i(at) < F.col("_box.y2"))
+    pasted = F.transform("v", lambda a, at: F.when(inside(at), F.get("_v", at)).otherwise(a))
+    mix, share = F.lit(choices.get("mixup", 1.0)), F.col("_box.lam")
+    own, others = (V.one_hot(F.col(c), classes) for c in ("label", "_label"))
+    kind = F.col("kind")
+    v = F.when(kind == "mixup", V.blend(F.col("v"), F.col("_v"), mix)).when(kind == "cutmix", pasted).otherwise(F.col("v"))
+    target = F.when(kind == "mixup", V.blend(own, others, mix)).when(kind == "cutmix", V.blend(own, others, share)).otherwise(own)
+    return x.select(*(c for c in rows.columns if c not in ("v", "label")), v.alias("v"), target.alias("target"), "kind")
+
+
 def expanded(samples: DataFrame, n: int) -> DataFrame:
     """Each sample n times, with aug from 0."""
     return samples.withColumn("aug", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -95,10 +123,19 @@ def drawn(rng: np.random.Generator, width: int, height: int, config: dict[str, d
             out[k] = bool(rng.random() < v.get("p", 0.5))
         elif k == "rand_augment":
             if rng.random() < v.get("p", 1.0):
-                out[k] = [(OPERATIONS[int(rng.integers(len(OPERATIONS)))], float(rng.choice([-1, 1]) * v.get("magnitude", 9))) for _ in range(v.get("num_ops", 2))]
+                out[k] = []
+                for op in rng.integers(len(OPERATIONS), size=v.get("num_ops", 2)):
+                    size, signed = magnitude(OPERATIONS[op], v.get("magnitude", 9), v.get("num_magnitude_bins", 31), rows, columns)
+                    out[k].append((OPERATIONS[op], -size if signed and rng.random() < 0.5 else size))
         elif k == "random_erasing":
-            w, h = max(1, width // 4), max(1, height // 4)
-            out[k] = (int(rng.integers(0, width - w + 1)), int(rng.integers(0, height - h + 1)), h, w) if rng.random() < v.get("p", 0.25) else (-1, 0, 0, 0)
+            if rng.random() < v.get("p", 0.5):
+                out[k] = (-1, 0, 0, 0)  # no box fits
+                for _ in range(10):
+                    area, ratio = rows * columns * rng.uniform(*v.get("scale", (0.02, 0.33))), np.exp(rng.uniform(*np.log(v.get("ratio", (0.3, 3.3)))))
+                    h, w = round(np.sqrt(area * ratio)), round(np.sqrt(area / ratio))
+                    if h < rows and w < columns:
+                        out[k] = (int(rng.integers(0, rows - h + 1)), int(rng.integers(0, columns - w + 1)), int(h), int(w))
+                        break
         elif k in AFTER_COLLATE:
             a = v.get("alpha", 1.0)
             if a > 0 and rng.random() < v.get("p", 1.0):
@@ -108,6 +145,22 @@ def drawn(rng: np.random.Generator, width: int, height: int, config: dict[str, d
     return out
 
 
+def magnitude(op: str, bin_: int, bins: int, height: int, width: int) -> tuple[float, bool]:
+    """An operation's strength in one of `bins` even steps of its range, and whether its sign is drawn."""
+    share = bin_ / (bins - 1)
+    if op in ("ShearX", "ShearY"):
+        return 0.3 * share, True
+    if op in ("TranslateX", "TranslateY"):
+        return 150 / 331 * (width if op == "TranslateX" else height) * share, True
+    if op == "Rotate":
+        return 30 * share, True
+    if op in ("Brightness", "Color", "Contrast", "Sharpness"):
+        return 0.9 * share, True
+    if op == "Posterize":  # bits kept
+        return float(8 - round(bin_ / ((bins - 1) / 4))), False
+    return (255 * (1 - share), False) if op == "Solarize" else (0.0, False)
+
+
 def box(lam: float, height: int, width: int, i: int, j: int) -> tuple[int, int, int, int]:
     """Rows and columns (from, from, to, to) that cutmix replaces around (i, j)."""
     h, w = (int(n * np.sqrt(1 - lam)) // 2 for n in (height, width))
@@ -116,7 +169,8 @@ def box(lam: float, height: int, width: int, i: int, j: int) -> tuple[int, int,
 
 def applied(image: np.ndarray, params: dict, config: dict[str, dict], other: np.ndarray | None = None) -> np.ndarray:
     """An image (height, width, channels; 0-255) with stored parameters applied; transforms that params lack are skipped.
-    Magnitudes of rand_augment are in thirtieths of an operation's range. cutmix: (lambda, box)."""
+    Magnitudes of rand_augment are in each operation's own unit, see magnitude(). random_erasing: first row, first
+    column, height and width; a first row of -1 erases nothing. cutmix: (lambda, box)."""
     x = image
     for k, v in composed(config):
         p = params.get(k)
@@ -146,7 +200,7 @@ def applied(image: np.ndarray, params: dict, config: dict[str, dict], other: np.
             x = (x - np.array(v["mean"])) / np.array(v["std"])
         elif k == "random_erasing" and p[0] >= 0:
             x = x.copy()
-            x[p[1] : p[1] + p[2], p[0] : p[0] + p[3]] = 0
+            x[p[0] : p[0] + p[2], p[1] : p[1] + p[3]] = 0
         elif k == "mixup" and other is not None:
             x = p * x + (1 - p) * other
         elif k == "cutmix" and other is not None:
@@ -173,29 +227,30 @@ def equalized(channel: np.ndarray) -> np.ndarray:
 
 def _operation(x: np.ndarray, op: str, mag: float) -> np.ndarray:
     if op == "Brightness":
-        return np.clip(x * (1 + mag / 30), 0, 255)
+        return np.clip(x * (1 + mag), 0, 255)
     if op == "Contrast":
-        return np.clip((x - x.mean()) * (1 + mag / 30) + x.mean(), 0, 255)
+        mean = (x @ GREY).mean() if x.shape[2] == 3 else x.mean()
+        return np.clip((x - mean) * (1 + mag) + mean, 0, 255)
     if op == "Posterize":
-        return x.astype(np.uint8) & np.uint8(256 - (1 << int(abs(mag) * 4 / 30)))
+        return x.astype(np.uint8) & np.uint8(256 - (1 << (8 - int(mag))) & 255)
     if op == "Solarize":
-        return np.where(x >= 255 - abs(mag) * 255 / 30, 255 - x, x)
+        return np.where(x >= mag, 255 - x, x)
     i, j = np.meshgrid(np.arange(x.shape[0]) + 0.5, np.arange(x.shape[1]) + 0.5, indexing="ij")
     if op == "ShearX":
-        return sampled(x, i, j + 0.3 * mag / 30 * i)
+        return sampled(x, i, j + mag * i)
     if op == "ShearY":
-        return sampled(x, i + 0.3 * mag / 30 * j, j)
+        return sampled(x, i + mag * j, j)
     if op == "TranslateX":
-        return sampled(x, i, j - int(150 / 331 * x.shape[1] * mag / 30))
+        return sampled(x, i, j - int(mag))
     if op == "TranslateY":
-        return sampled(x, i - int(150 / 331 * x.shape[0] * mag / 30), j)
-    if op == "Rotate":  # against the clock, by up to 30 degrees
+        return sampled(x, i - int(mag), j)
+    if op == "Rotate":  # against the clock, in degrees
         c, s, di, dj = np.cos(np.radians(mag)), np.sin(np.radians(mag)), i - x.shape[0] / 2, j - x.shape[1] / 2
         return sampled(x, s * dj + c * di + x.shape[0] / 2, c * dj - s * di + x.shape[1] / 2)
     if op in ("Color", "Sharpness"):
-        ratio = 1 + 0.9 * mag / 30
+        ratio = 1 + mag
         if op == "Color":
-            plain = (x @ np.array([0.2989, 0.587, 0.114]))[..., None] if x.shape[2] == 3 else x
+            plain = (x @ GREY)[..., None] if x.shape[2] == 3 else x
         else:
             plain = x.astype(np.float64)
             around = sum(plain[a : a + x.shape[0] - 2, b : b + x.shape[1] - 2] for a in range(3) for b in range(3))

@@ -84,8 +84,11 @@ def reinforced(gt: DataFrame, syn: DataFrame | None, weights: tuple[float, float
     return out.withColumn("loss", F.col("contrastive") + F.col("distillation"))
 
 
-def choose(distill: bool = False, reinforcement: bool = False, sigmoid: bool = False) -> str:
-    """Which loss a run uses, in this order: distillation without stored targets, sigmoid, stored targets, plain."""
+def choose(distill: bool = False, reinforcement: bool = False, sigmoid: bool = False, caption: bool = False) -> str:
+    """Which loss a run uses, in this order: distillation without stored targets, captions, sigmoid, stored targets,
+    plain."""
     if distill and not reinforcement:
         return "distill_sigmoid" if sigmoid else "distill"
+    if caption:
+        return "caption"
     return "sigmoid" if sigmoid else "reinforced" if reinforcement else "contrastive"

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.session import range_of
+
 IMAGES = ["jpg", "png", "jpeg", "webp"]
 #: Fixed constants of the minimal-standard generator, which other SQL engines repeat exactly.
 MODULUS, FACTOR = 2147483647, 48271
@@ -57,8 +59,7 @@ def embedding_payload(parts: str = "parts") -> Column:
 def batched(rows: DataFrame, size: int, order: list[str], partial: bool) -> DataFrame:
     """batch_id and pos. The order is total, so the numbering is one sequence: it goes by counts per range of the first
     order column, and no task sees all rows. A partial last batch stays or goes."""
-    spark_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = rows.repartitionByRange(spark_parts, *order).withColumn("_p", F.spark_partition_id())
+    x = rows.withColumn("_p", range_of(rows, order[0], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     x = x.withColumn("_n", own)
     counts = x.groupBy("_p").agg(F.count("*").alias("_c"))
@@ -134,10 +135,11 @@ def resampled(shards: DataFrame, slots: int, epoch: int, seed: int = 0, weight:
     return picks.join(shards, "_at").drop("_at")
 
 
-def train_rows(samples: DataFrame, epoch: int = 0, sequential: bool = False, distill: bool = False, ratio: float = 0.0, key_pattern: str = "syn_text.*", seed: int = 0) -> DataFrame:
+def train_rows(samples: DataFrame, epoch: int = 0, sequential: bool = False, distill: bool = False, ratio: float = 0.0, key_pattern: str = "syn_text.*", seed: int = 0, by: Column | None = None) -> DataFrame:
     """One training row a sample (key, paug, texts, syn_texts, image_emb, text_emb, syn_emb): a drawn augmentation and
-    caption with the vectors of the same places, and a synthetic caption. With distill no stored vectors are used."""
-    key = F.xxhash64("key")
+    caption with the vectors of the same places, and a synthetic caption. With distill no stored vectors are used. Draws
+    go by the number `by`, the key's hash if not given."""
+    key = F.xxhash64("key") if by is None else by
     syn = drawn_synthetic(keys_like(F.col("syn_texts"), key_pattern), epoch, sequential, key, seed=seed + 2)
     x = samples.withColumns({"_aug": index_of(F.col("paug"), epoch, sequential, key, seed=seed), "_cap": index_of(F.col("texts"), epoch, sequential, key, seed=seed + 1), "_syn": syn})
     none = F.array().cast("array<float>")

@@ -1,8 +1,8 @@
 """The registered queries and their SQL."""
 
-from vecloom.plans import corpus_queries, embedding_queries, library_queries
+from vecloom.plans import corpus_queries, embedding_queries, library_queries, part_queries
 
-_MODULES = [embedding_queries, corpus_queries, library_queries]
+_MODULES = [embedding_queries, corpus_queries, library_queries, part_queries]
 
 
 def queries() -> dict:

@@ -128,11 +128,6 @@ def class_name_admit(spark, sf_dir):
 
 
 def pretokenize(spark, sf_dir):
-    t = X.pretokenize(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).alias("n"), F.array_join(F.slice(t, 1, 20), " ").alias("head"))
-
-
-def pretokenize_all(spark, sf_dir):
     t = X.pretokenize(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).alias("n"), F.array_join(t, " ").alias("tokens"))
 
@@ -280,7 +275,7 @@ def stream_rate(spark, sf_dir):
     return y.select("user_id", G.rate_text(F.col("average")).alias("r")).select("user_id", "r.fps", r6("r.ms").alias("ms"))
 
 
-QUERIES = {f.__name__: f for f in (shard_members_grouped, shard_union_by_key, filter_has_fields, filter_min_side, batching_drop_last, batching_keep_last, sequential_sample, random_sample, regex_key_select, positional_embedding_lookup, caption_mix, resampled_shards, stacked_kinds, prompt_templates, class_name_admit, pretokenize, pretokenize_all, adjacent_pairs, vocab_lookup, frame_context, eot_position, caption_cleanup, name_prefixes, augment_compress, augment_decompress, config_compose, multi_sample_expand, cutmix_bbox, crop_geometry, bottleneck_rank, group_rates_by_lang, jaccard_by_size, parameter_change, stream_keep_latest, stream_decimate, stream_ema, stream_rate)}
+QUERIES = {f.__name__: f for f in (shard_members_grouped, shard_union_by_key, filter_has_fields, filter_min_side, batching_drop_last, batching_keep_last, sequential_sample, random_sample, regex_key_select, positional_embedding_lookup, caption_mix, resampled_shards, stacked_kinds, prompt_templates, class_name_admit, pretokenize, adjacent_pairs, vocab_lookup, frame_context, eot_position, caption_cleanup, name_prefixes, augment_compress, augment_decompress, config_compose, multi_sample_expand, cutmix_bbox, crop_geometry, bottleneck_rank, group_rates_by_lang, jaccard_by_size, parameter_change, stream_keep_latest, stream_decimate, stream_ema, stream_rate)}
 
 
 def _draw(seed: int, *keys: str) -> str:
@@ -314,10 +309,9 @@ SQL = {
     "caption_mix": f"SELECT doc_id, CASE WHEN {_draw(3, 'doc_id')} < {int(0.25 * S.MODULUS)} THEN 'syn' ELSE 'gt' END AS side FROM documents",
     "resampled_shards": f"WITH s AS (SELECT row_number() OVER (ORDER BY id, c) - 1 AS place, id AS shard_id FROM range(16) t(id), range(1, 4) u(c) WHERE c <= id % 3 + 1) SELECT slot, shard_id FROM (SELECT slot, {_draw(5, 'slot', '2')} % (SELECT count(*) FROM s) AS place FROM range(64) r(slot)) JOIN s USING (place)",
     "stacked_kinds": "SELECT 'gt' AS kind, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents UNION ALL SELECT 'syn', count(*), CAST(-sum(n_chars) AS BIGINT) FROM documents",
-    "prompt_templates": "SELECT title, prefix || ' ' || p_brand || ' ' AS prompt FROM (SELECT DISTINCT p_brand FROM part), (VALUES ('Objects', 'A photo of'), ('Scenes', 'A photo taken in'), ('Custom', 'A photo of')) t(title, prefix)",
+    "prompt_templates": "SELECT title, prefix || ' ' || p_brand || ' ' AS prompt FROM (SELECT DISTINCT p_brand FROM part), (VALUES ('Desk items', 'A photo of'), ('Expressions', 'A person'), ('Custom', 'A photo of')) t(title, prefix)",
     "class_name_admit": "SELECT trim(p_type) AS name, lower(trim(p_type)) AS folded, min(p_partkey) AS first FROM part WHERE trim(p_type) <> '' GROUP BY 1, 2",
-    "pretokenize": "WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '" + X.PRETOKEN.replace("'", "''") + "') AS t FROM conversations) SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n, coalesce(array_to_string(t[1:20], ' '), '') AS head FROM t",
-    "pretokenize_all": "WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '" + X.PRETOKEN.replace("'", "''") + "') AS t FROM conversations) SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n, coalesce(array_to_string(t, ' '), '') AS tokens FROM t",
+    "pretokenize": "WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '" + X.PRETOKEN.replace("'", "''") + "') AS t FROM conversations) SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n, coalesce(array_to_string(t, ' '), '') AS tokens FROM t",
     "adjacent_pairs": "WITH l AS (SELECT p_partkey, unnest(range(1, length(p_type))) AS i, p_type FROM part), g AS (SELECT p_partkey, p_type[i] || ' ' || p_type[i + 1] AS pair, min(i) AS i FROM l GROUP BY ALL) SELECT p_partkey, string_agg(pair, ',' ORDER BY i) AS pairs FROM g GROUP BY p_partkey",
     "vocab_lookup": "WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS piece, unnest(range(len(string_split(p_name, ' ')))) AS i FROM part) SELECT p_partkey, string_agg(((ascii(piece) * 131 + length(piece)) % 9973)::VARCHAR, ' ' ORDER BY i) AS ids FROM w WHERE piece < 'm' GROUP BY p_partkey",
     "frame_context": f"WITH {_FRAME} SELECT doc_id, array_to_string(t, ' ') AS tokens FROM t",

@@ -87,29 +87,9 @@ def score_bucket(spark, sf_dir):
 
 
 def retrieval_recall_at_k(spark, sf_dir):
-    """Images are even vectors, texts odd ones, in candidate sets of 64 pairs (an equi-join on the set)."""
-    x = _pairs(spark, sf_dir).withColumn("batch", F.floor(F.col("pair") / 64))
-    x = x.withColumn("pos", F.col("pair"))
-    scored = L.pairs(x, "a", "b").withColumn("score", V.dot(F.col("a"), F.col("b")))
-    return R.recall_at(scored, "i", "j", F.col("i") == F.col("j")).select("direction", "k", r6("recall").alias("recall"))
-
-
-def retrieval_recall_all(spark, sf_dir):
-    """Every image ranked against all texts, and the other way round, a block of candidates at a time: what is kept is
-    the number of candidates before the true match, not the pairs."""
-    x = _pairs(spark, sf_dir).withColumn("own", V.dot(F.col("a"), F.col("b")))
-    blocks = max(1, -(-x.count() // 1024))
-    out = None
-    for direction, query, other in (("image_to_text", "a", "b"), ("text_to_image", "b", "a")):
-        asked = x.select(F.col("pair").alias("i"), "own", F.col(query).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        held = x.select(F.col("pair").alias("j"), F.col(other).alias("c"), (F.col("pair") % blocks).cast("int").alias("block"))
-        scored = asked.join(held, "block").withColumn("score", V.dot(F.col("q"), F.col("c")))
-        before = (F.col("score") > F.col("own")) | (F.col("score") == F.col("own")) & (F.col("j") < F.col("i"))
-        places = scored.groupBy("i").agg((F.sum(before.cast("long")) + 1).alias("place"))
-        one = places.withColumn("k", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10)))).groupBy("k").agg(F.avg((F.col("place") <= F.col("k")).cast("double")).alias("recall"))
-        one = one.select(F.lit(direction).alias("direction"), "k", r6("recall").alias("recall"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Images are even vectors, texts the odd ones behind them; each is ranked against all of the other kind."""
+    x = _pairs(spark, sf_dir)
+    return R.recall_among_all(x, "pair", "a", "b").select("direction", "k", r6("recall").alias("recall"))
 
 
 def _grouped(spark, sf_dir):
@@ -229,7 +209,7 @@ def projection(spark, sf_dir):
     return embeddings(spark, sf_dir).select("vec_id", F.transform(V.project(V.double("embedding"), w), r6).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (l2_normalize, cosine_pairs, scaled_logits_softmax, class_prototypes, zero_shot_topk_acc, argmax_class, mean_per_class_recall, confusion_f1_macro, predictions_ranked, predictions_highlight, score_bucket, retrieval_recall_at_k, retrieval_recall_all, group_accuracy, worst_group, crossed_groups, binary_regroup, pairwise_caption_test, clip_loss, distill_loss, distill_loss_ensemble, siglip_loss, siglip_distill_loss, reinforced_loss, layer_norm, global_pool, normalize_channels, mixup, conv_bn_fold, causal_mask, projection)}
+QUERIES = {f.__name__: f for f in (l2_normalize, cosine_pairs, scaled_logits_softmax, class_prototypes, zero_shot_topk_acc, argmax_class, mean_per_class_recall, confusion_f1_macro, predictions_ranked, predictions_highlight, score_bucket, retrieval_recall_at_k, group_accuracy, worst_group, crossed_groups, binary_regroup, pairwise_caption_test, clip_loss, distill_loss, distill_loss_ensemble, siglip_loss, siglip_distill_loss, reinforced_loss, layer_norm, global_pool, normalize_channels, mixup, conv_bn_fold, causal_mask, projection)}
 
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM e)"
 _P = f"{_E}, m AS (SELECT label AS class, i, avg(u[i]) AS x FROM u, range(1, 65) t(i) WHERE vec_id % 2 = 0 GROUP BY ALL), g AS (SELECT class, list(x ORDER BY i) AS g FROM m GROUP BY class), p AS (SELECT class, list_transform(g, lambda x: x / sqrt(list_dot_product(g, g))) AS prototype FROM g)"
@@ -265,8 +245,7 @@ SQL = {
     "predictions_ranked": f"WITH {_S} SELECT vec_id, class, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) AS INTEGER) AS rank FROM s",
     "predictions_highlight": f"WITH {_S} SELECT vec_id, class, score >= 0.22 AND score >= max(score) OVER (PARTITION BY vec_id) * 0.95 AS highlight FROM s",
     "score_bucket": f"WITH {_S} SELECT vec_id, class, least(CAST(round(20 * least(greatest(score - 0.15, 0), 0.22) / (0.22 - 0.15)) AS INTEGER), 20) AS bucket FROM s",
-    "retrieval_recall_at_k": f"WITH {_Q}, c AS (SELECT x.pair AS i, y.pair AS j, list_dot_product(x.a, y.b) AS s FROM q x JOIN q y ON x.pair // 64 = y.pair // 64), r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS it, row_number() OVER (PARTITION BY j ORDER BY s DESC, i) AS ti FROM c) SELECT direction, k, round(avg((CASE WHEN direction = 'image_to_text' THEN it ELSE ti END <= k)::INT), 6) AS recall FROM r, (VALUES (1), (5), (10)) t(k), (VALUES ('image_to_text'), ('text_to_image')) d(direction) WHERE i = j GROUP BY direction, k",
-    "retrieval_recall_all": f"WITH {_Q}, c AS (SELECT x.pair AS i, y.pair AS j, list_dot_product(x.a, y.b) AS s FROM q x, q y), r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS it, row_number() OVER (PARTITION BY j ORDER BY s DESC, i) AS ti FROM c) SELECT direction, k, round(avg((CASE WHEN direction = 'image_to_text' THEN it ELSE ti END <= k)::INT), 6) AS recall FROM r, (VALUES (1), (5), (10)) t(k), (VALUES ('image_to_text'), ('text_to_image')) d(direction) WHERE i = j GROUP BY direction, k",
+    "retrieval_recall_at_k": f"WITH {_Q}, c AS (SELECT x.pair AS i, y.pair AS j, round(list_dot_product(x.a, y.b), 9) AS s FROM q x, q y), r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS it, row_number() OVER (PARTITION BY j ORDER BY s DESC, i) AS ti FROM c) SELECT direction, k, round(avg((CASE WHEN direction = 'image_to_text' THEN it ELSE ti END <= k)::INT), 6) AS recall FROM r, (VALUES (1), (5), (10)) t(k), (VALUES ('image_to_text'), ('text_to_image')) d(direction) WHERE i = j GROUP BY direction, k",
     "group_accuracy": f"WITH {_D} {_G}",
     "worst_group": f"WITH {_D}, w AS ({_G}) SELECT min(acc) AS worst, (SELECT round(avg(hit::INT), 6) FROM d) AS average FROM w",
     "crossed_groups": f"WITH {_D} SELECT grp, CAST(label % 2 AS INTEGER) AS parity, round(avg(hit::INT), 6) AS acc, count(*) AS n FROM d GROUP BY ALL",

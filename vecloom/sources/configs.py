@@ -30,7 +30,13 @@ NOT_CORE = ["comp/", "longclip/"]
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(model, key, dataset, metrics): one JSON record a line; the file's name is the model's."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]*)\.jsonl$", 1)
-    return spark.read.schema(RECORD).option("allowNonNumericNumbers", "true").json(path).select(name.alias("model"), "key", "dataset", "metrics")
+    return parsed_results(spark.read.text(path).select(name.alias("model"), "value"))
+
+
+def parsed_results(lines: DataFrame) -> DataFrame:
+    """(model, key, dataset, metrics) of JSON records (model, value), "NaN" being a number; others are left out."""
+    record = F.from_json("value", RECORD, {"allowNonNumericNumbers": "true"})
+    return lines.select("model", record.alias("r")).select("model", "r.*").where("key IS NOT NULL")
 
 
 def main_metrics(records: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vecloom.operators.ranking import class_scores
+from vecloom.session import range_of
 
 
 def newest(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -24,9 +25,20 @@ def newest(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def every(rows: DataFrame, by: list[str], order: list[str], skip: int) -> DataFrame:
-    """One row, then `skip` left out, and so on."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("_n", n).where(F.col("_n") % (skip + 1) == 0).drop("_n")
+    """One row, then `skip` left out, and so on. Rows are numbered by counts per key and range of the order, so no task
+    sorts all rows of a key."""
+    x = _cut(rows, by, order)
+    counts = x.groupBy(*by, "_p").agg(F.count("*").alias("_c"))  # at most one row a range for each key
+    before = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_c")).drop("_c")
+    x = x.join(before, [*by, "_p"])
+    return x.where((F.col("_b") + F.col("_n") - 1) % (skip + 1) == 0).select(*rows.columns)
+
+
+def _cut(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with _p, the range of the order that they lie in, and _n, their number there from 1 for each key."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = rows.withColumn("_p", range_of(rows, order[0], parts))
+    return x.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)))
 
 
 def plausible(seconds: Column, most_ms: float = 500.0) -> Column:
@@ -40,9 +52,20 @@ def smooth(values: Column, window: int = 10) -> Column:
 
 
 def moving_average(rows: DataFrame, by: str, value: str, order: list[str], window: int = 10) -> DataFrame:
-    """(by, average, n) by an ordered fold of each key."""
-    listed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("v"))
-    return listed.select(by, smooth(F.transform("v", lambda s: s["_v"]), window).alias("average"), F.size("v").cast("long").alias("n"))
+    """(by, average, n) of each key, as smooth() gives it. A value that m others follow weighs (1 - 1 / window) ** m /
+    window, the first one of all without the last division; so ranges of the order are summed by themselves, and a
+    key's ranges, of which there are few, are folded."""
+    keep = 1 - 1 / window
+    x = _cut(rows.select(by, *order, F.col(value).cast("double").alias("_v")), [by], order)
+    last = F.max("_n").over(Window.partitionBy(by, "_p"))
+    x = x.withColumn("_w", F.col("_v") * F.pow(F.lit(keep), last - F.col("_n")))
+    parts = x.groupBy(by, "_p").agg(F.count("*").alias("n"), F.sum("_w").alias("sum"), F.max(F.when(F.col("_n") == 1, F.col("_w"))).alias("first"))
+    folded = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_p", "n", "sum", "first"))).alias("parts"), F.sum("n").alias("n"))
+    own = lambda p: p["sum"] / window
+    start = F.get("parts", 0)
+    rest = F.slice("parts", F.lit(2), F.size("parts"))
+    average = F.aggregate(rest, own(start) + start["first"] * keep, lambda a, p: a * F.pow(F.lit(keep), p["n"]) + own(p))
+    return folded.select(by, average.alias("average"), "n")
 
 
 def moving_average_stream(rows: DataFrame, by: str, value: str, order: list[str], window: int = 10) -> DataFrame:
