@@ -215,19 +215,23 @@ def test_toxicity_of_real_labels(spark):
 
 def test_chain_against_a_plain_one():
     rng = np.random.default_rng(1)
-    x = (rng.random((80, 6)) < 0.4).astype(np.float32)
-    y = np.stack([x[:, 0], np.maximum(x[:, 0] * x[:, 1], x[:, 2])], axis=1).astype(float)
+    x = (rng.random((80, 6)) < 0.4).astype(float)
+    y = np.stack([x[:, 0], np.maximum(x[:, 0] * x[:, 1], x[:, 2])], axis=1)
     y[3, 0] = np.nan
-    chain = toxicity.fit_chain(x, y)
-    first = toxicity.fit_linear(x, y[:, 0])
-    seen = np.zeros(80, np.float32)
+    bits = lambda m, *dense: toxicity.Bits(*np.nonzero(m), m.shape, np.column_stack(dense) if dense else None)
+    uses = [np.array([0, 1, 4]), np.arange(6)]
+    some = x * np.isin(np.arange(6), uses[0])
+    chain = toxicity.fit_chain(bits(x), y, uses)
+    first = toxicity.fit_linear(bits(some), y[:, 0])
+    seen = np.zeros(80)
     for k in range(5):
         rest = np.arange(80) % 5 != k
-        seen[~rest] = toxicity.predict(toxicity.fit_linear(x[rest], y[rest, 0]), x[~rest])
-    second = toxicity.fit_linear(np.hstack([x, seen[:, None]]), y[:, 1])
+        seen[~rest] = toxicity.predict(toxicity.fit_linear(bits(some[rest]), y[rest, 0]), bits(some[~rest]))
+    second = toxicity.fit_linear(bits(x, seen), y[:, 1])
     assert np.allclose(chain[0], first) and np.allclose(chain[1], second)
-    p = toxicity.predict(first, x)
-    assert np.allclose(toxicity.run_chain(chain, x)[:, 1], toxicity.predict(second, np.hstack([x, p[:, None].astype(np.float32)])))
+    p = 1 / (1 + np.exp(-(some @ first[:6] + first[6])))
+    q = 1 / (1 + np.exp(-(x @ second[:6] + p * second[6] + second[7])))
+    assert np.allclose(toxicity.run_chain(chain, bits(x), uses), np.stack([p, q], axis=1))
 
 
 def test_toxicity_edges(spark):

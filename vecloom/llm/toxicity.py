@@ -32,53 +32,81 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 200, penalty: float = 1e-5) -> np.ndarray:
-    """Logistic regression by accelerated gradient steps, rare labels weighing up to 2.5 times; the last weight is the
+class Bits:
+    """A matrix of zeros and ones, as the places of its ones by rows, and dense columns behind it."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int], dense: np.ndarray | None = None) -> None:
+        self.row, self.column, self.shape = row, column, shape
+        self.dense = np.zeros((shape[0], 0)) if dense is None else dense
+        self.first = np.flatnonzero(np.diff(row, prepend=-1))
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        out = self.dense @ w[self.shape[1] :]
+        if len(self.first):
+            out[self.row[self.first]] += np.add.reduceat(w[self.column], self.first)
+        return out
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """Its transpose by r."""
+        return np.concatenate([np.bincount(self.column, r[self.row], self.shape[1]), r @ self.dense])
+
+    def having(self, *columns: np.ndarray) -> Bits:
+        return Bits(self.row, self.column, self.shape, np.column_stack([self.dense, *columns]))
+
+    def only(self, columns: np.ndarray) -> Bits:
+        keep = np.zeros(self.shape[1], bool)
+        keep[columns] = True
+        keep = keep[self.column]
+        return Bits(self.row[keep], self.column[keep], self.shape, self.dense)
+
+    def rows(self, which: np.ndarray) -> Bits:
+        keep, number = which[self.row], np.cumsum(which) - 1
+        return Bits(number[self.row[keep]], self.column[keep], (int(which.sum()), self.shape[1]), self.dense[which])
+
+
+def fit_linear(x: Bits, y: np.ndarray, rounds: int = 200, penalty: float = 1e-5) -> np.ndarray:
+    """Logistic regression by accelerated gradient steps, rare labels weighing up to five times; the last weight is the
     constant. y: 0, 1, or NaN for rows without a label, which have no weight."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = v = np.zeros(x.shape[1], np.float32)
+    x = x.having(np.ones(x.shape[0]))
+    w = v = np.zeros(x.shape[1] + x.dense.shape[1])
     told = np.isfinite(y)
-    y, share = np.where(told, y, 0).astype(np.float32), float(y[told].mean()) if told.any() else 0.0
-    weight = told * np.where(y > 0, np.float32(np.clip((1 - share) / max(share, 1e-9), 1, 5)), np.float32(1)) / np.float32(max(told.sum(), 1))
-    weight = weight.astype(np.float32)
-    top = np.ones(x.shape[1], np.float32)
+    y, share = np.where(told, y, 0), float(y[told].mean()) if told.any() else 0.0
+    weight = told * np.where(y > 0, np.clip((1 - share) / max(share, 1e-9), 1, 5), 1.0) / max(told.sum(), 1)
+    top = np.ones(len(w))
     for _ in range(8):  # the largest curvature, by the power method
-        top = x.T @ (weight * (x @ top))
+        top = x.back(weight * (x @ top))
         top /= (largest := float(np.linalg.norm(top))) or 1.0
-    step = np.float32(4 / max(1.2 * largest, 1e-6))
+    step = 4 / max(1.2 * largest, 1e-6)
     for t in range(rounds):
-        g = x.T @ (weight * (sigmoid(x @ v) - y)) + penalty * v
-        w, before = (v - step * g).astype(np.float32), w
-        v = w + np.float32(t / (t + 3)) * (w - before)
+        g = x.back(weight * (sigmoid(x @ v) - y)) + penalty * v
+        w, before = v - step * g, w
+        v = w + t / (t + 3) * (w - before)
     return w
 
 
-def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+def predict(w: np.ndarray, x: Bits) -> np.ndarray:
     return sigmoid(x @ w[:-1] + w[-1])
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = 5, uses: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """One model per column of labels over its columns of x (`uses`; all by default) and the chain before it; fold k
-    holds the rows k, k + folds, ..."""
-    fold, chain, before = np.arange(len(x)) % folds, [], np.zeros((len(x), 0), x.dtype)
+def fit_chain(x: Bits, labels: np.ndarray, uses: list[np.ndarray], folds: int = 5) -> list[np.ndarray]:
+    """One model per column of labels over the columns of x that it uses and the chain before it; fold k holds the rows
+    k, k + folds, ..."""
+    fold, chain = np.arange(x.shape[0]) % folds, []
     for c in range(labels.shape[1]):
-        y, seen = labels[:, c], np.zeros(len(x))
-        z = np.hstack([x[:, uses[c]] if uses else x, before])
+        y, seen, z = labels[:, c], np.zeros(x.shape[0]), x.only(uses[c])
         chain.append(fit_linear(z, y))
         if c + 1 < labels.shape[1]:
             for k in range(folds):
                 if (fold == k).any() and (fold != k).any():
-                    seen[fold == k] = predict(fit_linear(z[fold != k], y[fold != k]), z[fold == k])
-            before = np.hstack([before, seen[:, None].astype(x.dtype)])
+                    seen[fold == k] = predict(fit_linear(z.rows(fold != k), y[fold != k]), z.rows(fold == k))
+            x = x.having(seen)
     return chain
 
 
-def run_chain(chain: list[np.ndarray], x: np.ndarray, uses: list[np.ndarray] | None = None) -> np.ndarray:
-    out = np.zeros((len(x), 0), x.dtype)
-    for c, w in enumerate(chain):
-        p = predict(w, np.hstack([x[:, uses[c]] if uses else x, out]))
-        out = np.hstack([out, p[:, None].astype(x.dtype)])
-    return out.astype(np.float64)
+def run_chain(chain: list[np.ndarray], x: Bits, uses: list[np.ndarray]) -> np.ndarray:
+    for w, own in zip(chain, uses, strict=True):
+        x = x.having(predict(w, x.only(own)))
+    return x.dense
 
 
 class Model:
@@ -87,19 +115,19 @@ class Model:
     def __init__(self, vocabulary: list[str], names: list[str], uses: list[np.ndarray], chain: list[np.ndarray]) -> None:
         self.place, self.names, self.uses, self.chain = {f: i for i, f in enumerate(vocabulary)}, names, uses, chain
 
-    def rows(self, texts: list[str | None]) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.place)), np.float32)
-        known = self.place.keys()
-        for i, t in enumerate(texts):
-            if hit := [self.place[f] for f in known & features(t)]:
-                x[i, hit] = 1
-        return x
+    def places(self, text: str | None) -> list[int]:
+        """The numbers of a text's features, in order, so that sums are the same everywhere."""
+        return sorted(self.place[f] for f in self.place.keys() & features(text))
+
+    def bits(self, places: list[list[int]]) -> Bits:
+        row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        return Bits(row, np.array([i for p in places for i in p], np.int64), (len(places), len(self.place)))
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        return run_chain(self.chain, self.rows(texts), self.uses) if self.chain else np.zeros((len(texts), len(self.names)))
+        return run_chain(self.chain, self.bits([*map(self.places, texts)]), self.uses) if self.chain else np.zeros((len(texts), len(self.names)))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, sample: int = 6000, least: int = 3, apart: float = 2.5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, sample: int = 6000, least: int = 3, apart: float = 3.0) -> Model:
     """A model from the labelled rows of docs (doc_id, text) and labels (doc_id and what categories name).
 
     categories: names and conditions on labels, in the chain's order (by default those of CATEGORIES
@@ -143,15 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = np.packbits(shape.rows(b.column(1).to_pylist()).astype(bool), axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in bits], pa.binary()), *b.columns[2:]], names=["doc_id", "bits", *b.schema.names[2:]])
+            places = [np.array(shape.places(t), "<i4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.binary()), *b.columns[2:]], names=["doc_id", "places", *b.schema.names[2:]])
 
     fields = ", ".join(f"_{i} int" for i in range(len(names)))
-    seen = rows.mapInArrow(look, f"doc_id long, bits binary, {fields}").collect()  # at most `sample` rows of a bit a feature
+    seen = rows.mapInArrow(look, f"doc_id long, places binary, {fields}").collect()  # at most `sample` rows of their features' numbers
     seen.sort(key=lambda r: r["doc_id"])
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(shape.place)) for r in seen]).astype(np.float32)
+    x = shape.bits([np.frombuffer(r["places"], "<i4").tolist() for r in seen])
     y = np.array([[np.nan if r[f"_{i}"] is None else r[f"_{i}"] for i in range(len(names))] for r in seen], np.float64)
-    return Model([*shape.place], names, uses, fit_chain(x, y, uses=uses))
+    return Model([*shape.place], names, uses, fit_chain(x, y, uses))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
