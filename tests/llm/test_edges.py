@@ -235,9 +235,9 @@ def test_chain_against_a_plain_one():
 
 
 def test_toxicity_edges(spark):
-    rows = [(i, f"bad{i % 7} word" if i % 2 else "good word", i % 2, None) for i in range(60)] * 3 + [(99, "w" * 60 + " bad1", 1, 1), (None, "x", None, None)]
+    rows = [(i, f"bad{i % 7} word" if i % 2 else "good word", i % 2, None) for i in range(200)] * 3 + [(999, "w" * 60 + " bad1", 1, 1), (None, "x", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, quality int")
-    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic", "quality"), sample=50)
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic", "quality"), sample=150)
     out = toxicity.score(df, model).collect()
     assert len(out) == len(rows) and {r["is_toxic"] for r in out if r["text"] == "good word"} == {False}
     none = df.limit(0)

@@ -64,7 +64,7 @@ class Bits:
         return Bits(number[self.row[keep]], self.column[keep], (int(which.sum()), self.shape[1]), self.dense[which])
 
 
-def fit_linear(x: Bits, y: np.ndarray, rounds: int = 200, penalty: float = 1e-5) -> np.ndarray:
+def fit_linear(x: Bits, y: np.ndarray, rounds: int = 120, penalty: float = 1e-5) -> np.ndarray:
     """Logistic regression by accelerated gradient steps, rare labels weighing up to five times; the last weight is the
     constant. y: 0, 1, or NaN for rows without a label, which have no weight."""
     x = x.having(np.ones(x.shape[0]))
