@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,9 @@ _FACTOR = ("i8", "u4", "u4", "u4", "i8", "u4")
 _SPACED = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _BLOCK = "block int, settled boolean, body binary"
 _FACTORS = "home int, body binary"
-#: Words of an anchor; bytes of text that a map task parses at once, and words that a block does.
-ANCHOR, LOT, PORTION = 3, 12 << 20, 3_000_000
+#: Words of an anchor; bytes of text that a map task parses at once, shares of a block that are parsed one by one, and
+#: words of a share that are taken at once.
+ANCHOR, LOT, SHARES, PORTION = 3, 12 << 20, 4, 2_000_000
 
 
 def _press(*arrays: np.ndarray) -> bytes:
@@ -81,7 +83,7 @@ class Stretches:
     """Stretches of text, ordered by document and place: all words, and each one's document (doc, and check of its text,
     which tells rows of one doc_id apart), place there and number of words."""
 
-    KINDS = ("i8", "u4", "u4", "u4", "u4", "u1", "u1")
+    KINDS = ("u4", "i8", "u4", "u4", "u4", "u4", "u1", "u1")
 
     def __init__(self, words: np.ndarray, doc: np.ndarray, check: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
         self.words, self.doc, self.check, self.place, self.size = words, doc, check, place, size
@@ -92,23 +94,27 @@ class Stretches:
         size = self.size[which] if size is None else size
         return Stretches(self.words[ragged(self.start[which] + skip, size)], self.doc[which], self.check[which], self.place[which] + skip, size)
 
-    def pressed(self) -> bytes:
-        """As bytes: the distinct words, often ones first, and each word's number there, its low bytes first."""
+    def pressed(self, share: np.ndarray) -> bytes:
+        """As bytes: where each share of the block begins (share: that of each stretch, in order), the distinct words,
+        often ones first, and each word's number there, its low bytes first."""
         known, at, many = np.unique(self.words, return_inverse=True, return_counts=True)
         order = np.argsort(-many, kind="stable")
         rank = np.empty(len(known), "u4")
         rank[order] = np.arange(len(known))
         known = known[order]
         numbers = rank[at].view("u1").reshape(-1, 4)[:, : max(1, -(-len(known).bit_length() // 8))]
-        return _press(self.doc, self.check.astype("u4"), self.place.astype("u4"), self.size.astype("u4"), known.astype("u4"), (known >> np.uint64(32)).astype("u1"), numbers.T.copy())
+        return _press(np.searchsorted(share, np.arange(SHARES + 1)).astype("u4"), self.doc, self.check.astype("u4"), self.place.astype("u4"), self.size.astype("u4"), known.astype("u4"), (known >> np.uint64(32)).astype("u1"), numbers.T.copy())
 
     @classmethod
-    def read(cls, body: bytes) -> Stretches:
-        doc, check, place, size, low, high, numbers = _unpress(body, *cls.KINDS)
-        size = size.astype(np.int64)
-        at = np.zeros((int(size.sum()), 4), "u1")
-        at[:, : len(numbers) // max(len(at), 1)] = numbers.reshape(-1, len(at)).T if len(at) else 0
-        return cls((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))[at.view("u4").ravel()], doc, check, place.astype(np.int64), size)
+    def read(cls, body: bytes, share: int) -> Stretches:
+        begin, doc, check, place, size, low, high, numbers = _unpress(body, *cls.KINDS)
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        some = slice(*begin[share : share + 2].tolist())
+        first, last = upto[some.start], upto[some.stop]
+        at = np.zeros((last - first, 4), "u1")
+        numbers = numbers.reshape(-1, upto[-1])[:, first:last]
+        at[:, : len(numbers)] = numbers.T
+        return cls((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))[at.view("u4").ravel()], doc[some], check[some], place[some].astype(np.int64), size[some].astype(np.int64))
 
     @classmethod
     def ordered(cls, parts: list[Stretches]) -> Stretches:
@@ -120,20 +126,22 @@ def factors_of(x: Stretches, n: int) -> tuple[list[np.ndarray], np.ndarray, np.n
     """The factors of the stretches against each other: arrays of doc, check, place and windows, and the source's doc and
     place; then of the windows without an earlier document: stretch and place in it."""
     many = x.size - n + 1
-    stretch = np.repeat(np.arange(len(many)), many)
-    skip = ragged(np.zeros(len(many), np.int64), many)
-    at = x.start[stretch] + skip
+    stretch = np.repeat(np.arange(len(many), dtype=np.int32), many)
+    skip = ragged(np.zeros(len(many), np.int64), many).astype(np.int32)
+    at = (x.start[stretch] + skip).astype(np.int32 if len(x.words) < 1 << 31 else np.int64)
     h = sums(x.words, n)[at]
-    order = np.argsort(h, kind="stable")
-    new = run_starts(h[order])
-    first = np.empty(len(h), np.int64)  # the window's place of smallest doc
+    order = np.argsort(h, kind="stable").astype(np.int32)
+    h = h[order]
+    new = run_starts(h)
+    first = np.empty(len(h), np.int32)  # the window's place of smallest doc
     first[order] = np.repeat(order[new], np.diff(np.append(new, len(h))))
-    found = np.flatnonzero(x.doc[stretch] != x.doc[stretch[first]])
+    del h, order, new
+    found = np.flatnonzero(x.doc[stretch] != x.doc[stretch[first]]).astype(np.int32)
     same = np.ones(len(found), bool)
     for k in range(n):
         same &= x.words[at[found] + k] == x.words[at[first[found]] + k]
     found = found[same]
-    fresh = np.ones(len(h), bool)
+    fresh = np.ones(len(at), bool)
     fresh[found] = False
     source = first[found]
     s, t = stretch[found], stretch[source]
@@ -174,12 +182,13 @@ def factor_rows(docs: DataFrame, n: int, blocks: int, homes: int) -> DataFrame:
         for batch in batches:
             order = np.argsort(batch.column(0).to_numpy(), kind="stable")
             ids = batch.column(0).to_numpy()[order]
-            texts = as_bytes(batch.column(1))
-            texts = [texts[i] for i in order]
-            for lo, hi in pieces([len(t) for t in texts], LOT):
-                checks = np.array([zlib.crc32(t) for t in texts[lo:hi]], np.uint32)
-                words, counts = (np.concatenate(x) for x in zip(*(word_hashes(texts[lo + a : lo + b]) for a, b in pieces([len(t) for t in texts[lo:hi]])), strict=True))
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()[order]
+            for lo, hi in pieces(sizes.tolist(), LOT):
+                texts = as_bytes(batch.column(1).take(pa.array(order[lo:hi])))
+                checks = np.array([zlib.crc32(t) for t in texts], np.uint32)
+                words, counts = (np.concatenate(x) for x in zip(*(word_hashes(texts[a:b]) for a, b in pieces([len(t) for t in texts])), strict=True))
                 words &= np.uint64((1 << 40) - 1)
+                del texts
                 long = np.flatnonzero(counts >= n)
                 x = Stretches(words, ids[lo:hi], checks, np.zeros(hi - lo, np.int64), counts).take(long)
                 if not len(long):
@@ -188,28 +197,35 @@ def factor_rows(docs: DataFrame, n: int, blocks: int, homes: int) -> DataFrame:
                 rows = [(home % blocks, True, home.to_bytes(4, "little") + body) for home, body in send(found)]
                 anchor = anchors(x.words, n)[x.start[stretch] + skip]
                 fresh, begin = cut_anew(x, stretch, skip, n, anchor)
-                block = (anchor[begin] % np.uint64(blocks)).astype(np.int64)
+                part = (anchor[begin] % np.uint64(blocks * SHARES)).astype(np.int64)
                 del x, words, anchor, found, stretch, skip
-                order_ = np.argsort(block, kind="stable")
-                block = block[order_]
-                rows += [(int(block[a]), False, fresh.take(order_[a:b]).pressed()) for a, b in runs(block)]
+                by = np.argsort(part, kind="stable")
+                part = part[by]
+                rows += [(int(part[a]) // SHARES, False, fresh.take(by[a:b]).pressed(part[a:b] % SHARES)) for a, b in runs(part // SHARES)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["block", "settled", "body"])
 
     def resolve(block: pa.Table) -> pa.Table:
-        """All stretches of one block, in portions: factors against the earliest documents; what is new stays."""
-        out, known, some, size = [], [], [], 0
-        bodies = block.column("body").to_pylist()
-        for i, (settled, body) in enumerate(zip(block.column("settled").to_pylist(), bodies, strict=True)):
+        """All stretches of one block, a share after the other: factors against the earliest documents. A share that is
+        large is taken in portions, of which what is new stays."""
+        out, bodies = [], []
+        for settled, body in zip(block.column("settled").to_pylist(), block.column("body").to_pylist(), strict=True):
             if settled:
                 out.append((int.from_bytes(body[:4], "little"), body[4:]))
             else:
-                some.append(Stretches.read(body))
+                bodies.append(body)
+        for share in range(SHARES):
+            some, size = [], 0
+            for i, body in enumerate(bodies):
+                some.append(Stretches.read(body, share))
                 size += len(some[-1].words)
-            if some and (size >= PORTION or i + 1 == len(bodies)):
-                x = Stretches.ordered(known + some)
-                found, stretch, skip = factors_of(x, n)
-                out += send(found)
-                known, some, size = [cut_anew(x, stretch, skip, n)[0]] if i + 1 < len(bodies) else [], [], 0
+                if (last := i + 1 == len(bodies)) or size >= PORTION:
+                    x = Stretches.ordered(some)
+                    some, size = [], 0
+                    found, stretch, skip = factors_of(x, n)
+                    out += send(found)
+                    if not last:
+                        some = [cut_anew(x, stretch, skip, n)[0]]
+                    del x, stretch, skip
         return pa.table({"home": pa.array([x[0] for x in out], pa.int32()), "body": pa.array([x[1] for x in out], pa.binary())})
 
     picked = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
