@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.components import components
-from vecloom.llm.shared import table, written
+from vecloom.llm.shared import lean, table, written
 from vecloom.llm.tokens_file import as_bytes
 from vecloom.llm.wordkit import mix, pieces, run_starts, runs, window_hashes, word_hashes
 
@@ -125,6 +125,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         from pyspark import TaskContext
 
         counts, names = np.zeros(1 << SKETCH_BITS, np.int32), ["chunk", "doc_id", "n_shingles", "node", "body"]
@@ -143,6 +144,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
     seen = written(picked.mapInArrow(look, "chunk int, doc_id long, n_shingles long, node long, body binary"), "shingles")
 
     def add(t: pa.Table) -> pa.Table:
+        lean()
         total = sum(np.frombuffer(zstandard.decompress(x), np.int32).astype(np.int64) for x in t.column("body").to_pylist())
         total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
         return pa.table({"chunk": t.column("chunk")[:1].cast(pa.int32()), "body": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
@@ -156,6 +158,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
     buckets = max(16, -(-tokens // 8_000_000))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         often = np.frombuffer(sketch.value, np.int32)
         for b in batches:
             flat, sizes = shingle_sets(as_bytes(b.column(0)), n)
@@ -188,6 +191,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
 
     def meet(t: pa.Table) -> pa.Table:
         """Pairs (a < b) of the sets that share a combination of this bucket; star: one side stands for a crowd."""
+        lean()
         a, b, star = [], [], []
         for x in filter(None, t.column("links").to_pylist()):
             pair = np.frombuffer(x, np.int64).reshape(2, -1)
@@ -229,6 +233,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
     fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             total = b.column("size_a").to_numpy() + b.column("size_b").to_numpy()
             differ = least_differences(b.column("map_a").to_pylist(), b.column("map_b").to_pylist())
@@ -236,6 +241,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
             yield b.select(["a", "b"]).filter(keep)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             flat, sizes = shingle_sets(as_bytes(b.column(0)), n)
             ends = np.cumsum(sizes)
@@ -257,6 +263,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
 
     def verify(t: pa.Table) -> pa.Table:
         """The links of one lot of blocks, as a spanning forest."""
+        lean()
         t = t.sort_by([("root", "ascending"), ("x", "ascending"), ("y", "ascending"), ("node", "ascending")])
         texts, nodes = as_bytes(t.column("text")), t.column("node").to_numpy()
         key = mix(t.column("root").to_numpy().astype(np.uint64) + mix(t.column("x").to_numpy().astype(np.uint64) * np.uint64(1 << 32) + t.column("y").to_numpy().astype(np.uint64)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.shared import table, written
+from vecloom.llm.shared import lean, table, written
 from vecloom.llm.tokens_file import as_bytes
 from vecloom.llm.wordbpe import WordBpe
 from vecloom.llm.wordkit import pieces
@@ -141,6 +141,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Ids of every row with its place in its partition's part of its source's queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         from pyspark import TaskContext
 
         part, bpe, seen = TaskContext.get().partitionId(), WordBpe(tokenizer, end_id), {}
@@ -188,6 +189,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, targe
         places = F.broadcast(places)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             if not b.num_rows:
                 continue

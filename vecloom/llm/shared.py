@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def lean() -> None:
+    """For the start of a function on executors: Python workers live on between tasks and would keep what was freed.
+    Arrays of a megabyte or more go straight back to the system from here on (glibc's setting -3, where there is one),
+    and what an earlier task left is given back now."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another system's allocator
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder under spark.checkpoint.dir; a folder of our own only where that is unset, which one
     machine alone can share. remove() deletes what an application left there."""

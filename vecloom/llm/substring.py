@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.shared import table
+from vecloom.llm.shared import lean, table
 from vecloom.llm.tokens_file import as_bytes
 from vecloom.llm.wordkit import _WORD_BASE, mix, pieces, powers, run_starts, runs, word_hashes
 
@@ -179,6 +179,7 @@ def factor_rows(docs: DataFrame, n: int, blocks: int, homes: int) -> DataFrame:
             yield int(home[at[0]]), _press(*(f[at].astype(k) for f, k in zip(factors, _FACTOR, strict=True)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             order = np.argsort(batch.column(0).to_numpy(), kind="stable")
             ids = batch.column(0).to_numpy()[order]
@@ -207,6 +208,7 @@ def factor_rows(docs: DataFrame, n: int, blocks: int, homes: int) -> DataFrame:
     def resolve(block: pa.Table) -> pa.Table:
         """All stretches of one block, a share after the other: factors against the earliest documents. A share that is
         large is taken in portions, of which what is new stays."""
+        lean()
         out, bodies = [], []
         for settled, body in zip(block.column("settled").to_pylist(), block.column("body").to_pylist(), strict=True):
             if settled:
@@ -270,6 +272,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, carry: tuple[str, ...] = (), la
     extra = [f.name for f in picked.schema.fields[2:]]
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy()
             home = home_of(ids, homes)
@@ -281,6 +284,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, carry: tuple[str, ...] = (), la
     pressed = picked.mapInArrow(press, f"home int, doc_id long, z binary{kinds}")
 
     def parse(rows: pa.Table, found: pa.Table) -> pa.Table:
+        lean()
         of: dict[tuple[int, int], tuple[int, int]] = {}
         if bodies := found.column("body").to_pylist():
             d, c, *rest = (np.concatenate(x) for x in zip(*(_unpress(b, *_FACTOR) for b in bodies), strict=True))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.shared import table, written
+from vecloom.llm.shared import lean, table, written
 
 #: The chain's categories in order, as conditions on the columns of labels. The last one is the verdict.
 CATEGORIES = {"poor": "quality = 0", "toxic": "toxic = 1"}
@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     rows = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")  # at most `sample` rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             of = {(c, y): Counter() for c in range(len(names)) for y in (0, 1)}
             labels_ = [b.column(2 + c).to_pylist() for c in range(len(names))]
@@ -170,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     uses = [np.array(sorted(shape.place[r["feature"]] for r in best if r["category"] == c), np.int64) for c in range(len(names))]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             places = [np.array(shape.places(t), "<i4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.binary()), *b.columns[2:]], names=["doc_id", "places", *b.schema.names[2:]])
@@ -196,6 +198,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
