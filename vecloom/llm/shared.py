@@ -11,13 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def lean() -> None:
-    """For the start of a function on executors: Python workers live on between tasks and would keep what was freed.
-    Arrays of a megabyte or more go straight back to the system from here on (glibc's setting -3, where there is one),
-    and what an earlier task left is given back now."""
+    """For the start of a function on executors: Python workers live on between tasks, so what an earlier task freed is
+    given back to the system now."""
     try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)
-        libc.malloc_trim(0)
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another system's allocator
     pa.default_memory_pool().release_unused()
