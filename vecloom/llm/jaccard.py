@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.components import components
-from vecloom.llm.shared import lean, table, written
+from vecloom.llm.shared import lean, shares, table, written
 from vecloom.llm.tokens_file import as_bytes
 from vecloom.llm.wordkit import mix, pieces, run_starts, runs, window_hashes, word_hashes
 
@@ -129,7 +129,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
         from pyspark import TaskContext
 
         counts, names = np.zeros(1 << SKETCH_BITS, np.int32), ["chunk", "doc_id", "n_shingles", "node", "body"]
-        for b in batches:
+        for b in shares(batches, "text"):
             flat, sizes = shingle_sets(as_bytes(b.column(1)), n)
             counts += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
             ends = np.cumsum(sizes)
@@ -155,12 +155,12 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
     sketch = spark.sparkContext.broadcast(b"".join(parts.get(i, bytes(4 << SKETCH_BITS >> 6)) for i in range(CHUNKS)))
     info = seen.where("chunk IS NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("body").alias("map"))
     tokens = seen.where("chunk IS NULL").agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(16, -(-tokens // 8_000_000))
+    buckets = max(16, -(-tokens // 4_000_000))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         often = np.frombuffer(sketch.value, np.int32)
-        for b in batches:
+        for b in shares(batches, "text"):
             flat, sizes = shingle_sets(as_bytes(b.column(0)), n)
             rank, ends = often[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], np.cumsum(sizes)
             done, sig, node = set(), [], []
@@ -242,7 +242,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        for b in batches:
+        for b in shares(batches, "text"):
             flat, sizes = shingle_sets(as_bytes(b.column(0)), n)
             ends = np.cumsum(sizes)
             nodes = [node_of(flat[x:y]) if y > x else None for x, y in zip(ends - sizes, ends, strict=True)]

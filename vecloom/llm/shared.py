@@ -5,10 +5,14 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from vecloom.llm.wordkit import pieces
+
 
 def lean() -> None:
     """For the start of a function on executors: Python workers live on between tasks, so what an earlier task freed is
@@ -20,6 +24,15 @@ def lean() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def shares(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, in runs of about `limit` bytes of a text column, so that what is worked out for a run stays
+    small however many rows a batch has. A longer text is a run of its own, whole."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+        for lo, hi in pieces(sizes, limit):
+            yield b.slice(lo, hi - lo)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder under spark.checkpoint.dir; a folder of our own only where that is unset, which one
     machine alone can share. remove() deletes what an application left there."""
