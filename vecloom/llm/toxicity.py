@@ -146,17 +146,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        for b in batches:
-            of = {(c, y): Counter() for c in range(len(names)) for y in (0, 1)}
-            labels_ = [b.column(2 + c).to_pylist() for c in range(len(names))]
-            for text, *ys in zip(b.column(1).to_pylist(), *labels_, strict=True):
-                found = features(text)
-                for c, y in enumerate(ys):
-                    if y is not None:
-                        of[c, y].update(found)
-            for c in range(len(names)):
-                seen = [*{**of[c, 1], **of[c, 0]}]
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(seen), pa.int32()), pa.array(seen, pa.string()), pa.array([of[c, 1][f] for f in seen], pa.int64()), pa.array([of[c, 0][f] for f in seen], pa.int64())], names=["category", "feature", "yes", "no"])
+        for whole in batches:
+            for b in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
+                of = {(c, y): Counter() for c in range(len(names)) for y in (0, 1)}
+                labels_ = [b.column(2 + c).to_pylist() for c in range(len(names))]
+                for text, *ys in zip(b.column(1).to_pylist(), *labels_, strict=True):
+                    found = features(text)
+                    for c, y in enumerate(ys):
+                        if y is not None:
+                            of[c, y].update(found)
+                for c in range(len(names)):
+                    seen = [*{**of[c, 1], **of[c, 0]}]
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(seen), pa.int32()), pa.array(seen, pa.string()), pa.array([of[c, 1][f] for f in seen], pa.int64()), pa.array([of[c, 0][f] for f in seen], pa.int64())], names=["category", "feature", "yes", "no"])
 
     sums = rows.agg(*(f(F.col(f"_{i}") == y).alias(f"{i}{y}") for i in range(len(names)) for y, f in ((0, F.count_if), (1, F.count_if)))).first()
     last = len(names) - 1
