@@ -30,6 +30,7 @@ from vecloom.llm.wordkit import mix, pieces, run_starts, runs, window_hashes, wo
 SKETCH_BITS, CHUNKS = 20, 64
 SMALL = 64
 BLOCK = 1024
+SPREAD = 16
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +154,7 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
     summed = chunks.groupBy("chunk", "some").applyInArrow(add, "chunk int, body binary").groupBy("chunk").applyInArrow(add, "chunk int, body binary")
     parts = {r["chunk"]: zstandard.decompress(r["body"]) for r in summed.collect()}  # 4 MB whatever the input
     sketch = spark.sparkContext.broadcast(b"".join(parts.get(i, bytes(4 << SKETCH_BITS >> 6)) for i in range(CHUNKS)))
-    info = seen.where("chunk IS NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("body").alias("map"))
+    info = seen.where("chunk IS NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("body").alias("map"), F.count("*").alias("rows"))
     tokens = seen.where("chunk IS NULL").agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(16, -(-tokens // 4_000_000))
 
@@ -280,9 +281,15 @@ def join_groups(docs: DataFrame, n: int = 4, percent: int = 85, small: int = SMA
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     linked = components(held.groupBy("lot").applyInArrow(verify, "a long, b long"), "linked")
-    rows = seen.where("chunk IS NULL").select("doc_id", "n_shingles", "node").join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    # A component's sets and a set's rows may be any share of the table, so both joins are dealt by salt as well; the sides
+    # that are copied hold only components of links and sets of several rows.
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SPREAD))
+    copied = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    sets = info.select("node", "doc_id", "rows").join(linked, "node", "left").where("root IS NOT NULL OR rows > 1")
+    least = sets.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    names = sets.withColumn("salt", salt("node")).join(copied(least), ["root", "salt"], "left").select("node", F.coalesce("least", "doc_id").alias("name"))
+    rows = seen.where("chunk IS NULL").select("doc_id", "n_shingles", "node", salt("doc_id").alias("salt"))
+    return rows.join(copied(names), ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def _packed(a: np.ndarray, b: np.ndarray, most: int = 100_000) -> Iterator[tuple[int, bytes]]:
