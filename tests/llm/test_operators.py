@@ -5,11 +5,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from sentencepiece import SentencePieceProcessor
 
-from vecloom.llm import components, jaccard, neighbours, packing, pages, quality, secrets, sentencepieces, shared, substring, tokens_file, toxicity, wordbpe, wordkit
+from vecloom.llm import components, jaccard, neighbours, packing, pages, piecelattice, quality, secrets, sentencepieces, shared, substring, tokens_file, toxicity, wordbpe, wordkit
 
 public = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -292,10 +294,39 @@ def test_toxicity_held_out(spark):
 
 def test_sentence_pieces_round_trip(docs):
     df, texts = docs
-    units = sentencepieces.Units(public.path("piece_bpe_32k.model"))
+    library = SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
     got = {r["doc_id"]: r for r in sentencepieces.encode(df, public.path("piece_bpe_32k.model")).collect()}
     for d, t in texts.items():
-        assert got[d]["ids"] == units.library.encode(t or "") and got[d]["restored"]
+        assert got[d]["ids"] == library.encode(t or "") and got[d]["restored"]
+
+
+def test_paths_of_pieces_against_the_library():
+    """Every distinct word of the smallest corpus, odd characters, and units too long to be folded with others."""
+    path = public.path("piece_bpe_32k.model")
+    library, units = SentencePieceProcessor(model_file=path), sentencepieces.Units(sentencepieces.Pieces(path))
+    rng = random.Random(8)
+    words = sorted({w for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist() for w in (t or "").split(" ")})
+    odd = ["".join(rng.choice("abst日本é▁  \n\t\u0000🙂{}0<x0A>") for _ in range(rng.randint(1, 500))) for _ in range(200)]
+    texts = [w for w in [*words, *odd, "", "x" * 3000, "ab" * 2000 + "   "] if w]
+    ids, counts = units.encode([t.encode() for t in texts])
+    assert np.split(ids, np.cumsum(counts)[:-1])[-1].tolist() == library.encode(texts[-1])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library.encode(texts)
+    assert units.decode(ids, counts) == [t.replace("▁", " ").encode() for t in texts]
+
+
+def test_neighbours_of_pieces_against_merging():
+    """Random small models with ties of scores: the lattice's only path is what merging gives."""
+    rng = random.Random(2)
+    for _ in range(40):
+        known = {c: 0.0 for c in "abc"} | {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))): float(-rng.randint(1, 9)) for _ in range(14)}
+        lattice = piecelattice.PieceLattice({i: x for i, x in enumerate(known.items())})
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+        ids, counts = lattice.encode(words, lambda c: [99], run=50)
+        for word, got in zip(words, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            parts = [*word]
+            for _, parts in piecelattice.merged(word, known):  # noqa: B007
+                pass
+            assert got.tolist() == [[*known].index(p) if p in known else 99 for p in parts]
 
 
 def test_lattice_against_brute_force(spark):

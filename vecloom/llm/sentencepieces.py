@@ -1,11 +1,12 @@
 """Operator 8: SentencePiece encoding and decoding.
 
 A text is a sequence of units: a run of spaces (one more stands before the text) with the word behind it. Pieces hold
-spaces only in front, so units are encoded one by one and every distinct unit once.
+spaces only in front, so units are encoded one by one, and every distinct unit of a task once. A unit's ids are a path
+of its lattice: substrings of bounded length, joined with the piece table, grouped by unit and folded by a Viterbi pass.
 
-lattice() is the relational form for unigram models: substrings of bounded length are exploded, equi-joined with the
-piece table, grouped by unit, and folded into the best path by a higher-order aggregate. For BPE models the best path
-is not the library's answer (BPE merges greedily by rank), so encode() then merges by the library itself.
+lattice() is that in DataFrame operations, for unigram models, whose paths have scores that add up. encode() is for BPE
+models, the kind of the piece file here: it works the same steps on Arrow batches, admitting only neighbours that BPE
+leaves apart (see piecelattice), which gives the library's ids.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.shared import table
+from vecloom.llm.piecelattice import PieceLattice
+from vecloom.llm.shared import lean, table
 from vecloom.llm.tokens_file import as_bytes
 from vecloom.llm.wordkit import pieces
 
 SPACE = "▁"
+_SPACE = SPACE.encode()
 _UNIT = re.compile(rb" +[^ ]*")
 
 
@@ -63,37 +66,62 @@ def lattice(units: DataFrame, table_: DataFrame, longest: int = 16, unknown: flo
     return folded.select("unit", F.col("path.ids").alias("ids"), F.col("path.score").alias("score"))
 
 
-class Units:
-    """Ids of distinct units, and the bytes of pieces. limit bounds the units kept; it changes no result."""
+class Pieces:
+    """The pieces of a BPE model with byte fallback, read from its file with the library: their lattice, and the bytes
+    that they stand for. Made once on the driver; some 400 bytes a piece go to each executor."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        self.library, self.limit, self.ids = SentencePieceProcessor(model_file=path), limit, {}
-        n = self.library.get_piece_size()
-        surface = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else b"" if self.library.is_control(i) else p.replace(SPACE, " ").encode() for i, p in ((i, self.library.id_to_piece(i)) for i in range(n))]
-        self.sizes = np.fromiter(map(len, surface), np.int64, n)
+        library = SentencePieceProcessor(model_file=path)
+        every = [(i, library.id_to_piece(i)) for i in range(library.get_piece_size())]
+        byte_ids = [i for i, _ in every if library.is_byte(i)]
+        if len(byte_ids) != 256:
+            raise ValueError("a model with byte pieces is needed")
+        self.byte_id = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.lattice = PieceLattice({i: (p, library.get_score(i)) for i, p in every if not (library.is_unknown(i) or library.is_control(i) or library.is_byte(i) or library.is_unused(i))})
+        surface = [bytes([int(p[3:5], 16)]) if library.is_byte(i) else b"" if library.is_control(i) else p.replace(SPACE, " ").encode() for i, p in every]
+        self.sizes = np.fromiter(map(len, surface), np.int64, len(every))
         self.bytes, self.starts = np.frombuffer(b"".join(surface), np.uint8), np.cumsum(self.sizes) - self.sizes
 
+    def spelt(self, character: str) -> list[int]:
+        return [self.byte_id[b] for b in character.encode()]
+
+
+class Units:
+    """Ids of distinct units, kept from run to run of texts. limit bounds the units kept; it changes no result."""
+
+    def __init__(self, known: Pieces, limit: int = 400_000) -> None:
+        self.known, self.limit = known, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.ids, self.counts = {}, np.empty(0, np.int32), np.empty(0, np.int64)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.ids) > self.limit:
-            self.ids = {}
-        units = [_UNIT.findall(b" " + t) if t else [] for t in texts]
-        new = list({u for x in units for u in x} - self.ids.keys())
-        for u, ids in zip(new, self.library.encode([u[1:].decode() for u in new]), strict=True):
-            # the library gives nothing for an empty text, for which a lone space in front stands
-            self.ids[u] = np.array(ids or self.lone(u), np.int32)
-        counts = np.array([sum(len(self.ids[u]) for u in x) for x in units], np.int64)
-        return np.concatenate([np.empty(0, np.int32), *(self.ids[u] for x in units for u in x)]), counts
-
-    def lone(self, unit: bytes) -> list[int]:
-        return [self.library.piece_to_id(SPACE)] * len(unit)
+        """The ids of all texts, one after another, and their number for each."""
+        if len(self.number) > self.limit:
+            self.forget()
+        number = self.number
+        units = [_UNIT.findall(b" " + t.replace(_SPACE, b" ")) if t else [] for t in texts]  # models take both alike
+        new = [*{u for x in units for u in x if u not in number}]
+        ids, counts = self.known.lattice.encode([u.decode().replace(" ", SPACE) for u in new], self.known.spelt)
+        number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        at = np.fromiter((number[u] for x in units for u in x), np.int64, int(sizes.sum()))
+        many = self.counts[at]
+        ends = np.cumsum(many)
+        begins = np.cumsum(self.counts) - self.counts
+        flat = self.ids[np.repeat(begins[at] - ends + many, many) + np.arange(int(many.sum()))]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        return flat, np.diff(upto)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The texts of id sequences, without the space that was put in front."""
-        sizes = self.sizes[ids]
+        sizes = self.known.sizes[ids]
         upto = np.cumsum(sizes)
-        flat = self.bytes[np.repeat(self.starts[ids] - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)].tobytes()
+        flat = self.known.bytes[np.repeat(self.known.starts[ids] - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)].tobytes()
         at = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(counts)])]
         return [flat[a:b][1:] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
@@ -101,10 +129,14 @@ class Units:
 def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     """doc_id, ids (if asked for), n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers) and restored
     (whether decoding the ids gives the text back) of every row of docs (doc_id, text; other columns are not read).
-    Null text is empty and has no ids. Rows are encoded whole and one by one; repeated rows repeat."""
+    Null text is empty and has no ids; a "▁" of the text itself is a space to such models and comes back as one. Rows
+    are encoded whole and one by one; repeated rows repeat. No rows give no rows. model: the file of a BPE model that
+    keeps white space, puts a space in front and has byte pieces."""
+    sent = docs.sparkSession.sparkContext.broadcast(Pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(model)
+        lean()
+        units = Units(sent.value)
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for lo, hi in pieces([len(t) for t in texts], 1 << 22):
