@@ -26,6 +26,12 @@ def test_vectors_without_direction(spark):
     assert [r["u"] for r in got] == [None, None, [1.0], None]
 
 
+def test_rounding_keeps_the_sign(spark):
+    x = [-1e-9, 1e-9, -0.0, -5e-7, 0.0078125, -0.1234565, 31622798864121.21, -1e305, math.inf, math.nan, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(V.rounded(F.col("x"))).collect()]
+    assert [repr(v) for v in got] == ["-0.0", "0.0", "-0.0", "-1e-06", "0.007813", "-0.123457", "31622798864121.215", "-1e+305", "inf", "nan", "None"]
+
+
 def test_softmax_and_log_sigmoid(spark):
     p = one(spark, V.softmax(F.col("v")), v=F.array(F.lit(1000.0), F.lit(1000.0), F.lit(-1000.0)))
     assert p == [0.5, 0.5, 0.0]

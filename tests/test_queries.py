@@ -38,3 +38,32 @@ def test_same_as_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
+
+
+def exact(v):
+    """As plain(), with all digits and the sign of zero."""
+    return [exact(x) for x in v] if isinstance(v, list) else "nan" if isinstance(v, float) and math.isnan(v) else repr(v)
+
+
+def exact_rows(spark, name, path, tables):
+    """Rows of a query and of its SQL over small tables written below path."""
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.coalesce(1).write.parquet(f"{path}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    got = catalog.queries()[name](spark, str(path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    return sorted([exact(v) for v in r] for r in got.collect()), sorted([exact(v) for v in r] for r in want)
+
+
+def odd_vectors(spark):
+    """Components about zero of either sign, large, missing and not finite; few components, and none."""
+    near = [(i - 32) * 1e-7 for i in range(64)]
+    vectors = [near, [-x for x in near], [0.0] * 64, [-0.0] * 64, [-1e-40] * 64, [7e14 * (i + 1) for i in range(64)], [-3e38] * 64, near[:13], near[:5], [], None]
+    vectors += [[*near[:10], x, *near[11:]] for x in (0.3, None, math.nan, -math.inf)] + [[0.25 - i * 1e-7 for i in range(64)], [0.5 - i * 1e-7 for i in range(64)]]
+    return spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+
+
+def test_conv_bn_fold_is_its_sql_to_the_sign(spark, tmp_path):
+    got, want = exact_rows(spark, "conv_bn_fold", tmp_path, {"embeddings": odd_vectors(spark)})
+    assert got == want and "-0.0" in str(want)

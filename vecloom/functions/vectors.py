@@ -15,6 +15,13 @@ def let(x: Column, use) -> Column:
     return F.get(F.transform(F.array(x), use), 0)
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """As SQL rounds: times a power of ten, halves away from zero, and back. A small negative number becomes -0.0, where
+    F.round gives 0.0."""
+    unit = 10.0**places
+    return F.when(F.abs(x) < 1e300, F.signum(x) * F.round(F.abs(x) * unit) / unit).otherwise(x)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 

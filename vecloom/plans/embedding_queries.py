@@ -17,7 +17,7 @@ WIDTHS, SCALES = [32, 32], [70.0, 60.0]
 
 
 def r6(c):
-    return F.round(c, 6)
+    return V.rounded(F.col(c) if isinstance(c, str) else c)
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
