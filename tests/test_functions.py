@@ -170,6 +170,12 @@ def test_half_precision_is_that_of_numpy(spark):
         assert np.array_equal(got, v.astype(np.float16).astype(float))
 
 
+def test_half_precision_keeps_the_sign(spark):
+    v = np.array([-1e-9, -(2.0**-25), -0.0, 0.0, 1e-9, -6e-8])
+    got = spark.createDataFrame([(float(x),) for x in v], "x double").select(V.half(F.col("x"))).toPandas().iloc[:, 0].to_numpy()
+    assert np.array_equal(np.signbit(got), np.signbit(v.astype(np.float16))) and np.array_equal(got, v.astype(np.float16).astype(float))
+
+
 def test_fetch_tells_errors(spark):
     def get(url, timeout):
         if url == "b":

@@ -67,3 +67,10 @@ def odd_vectors(spark):
 def test_conv_bn_fold_is_its_sql_to_the_sign(spark, tmp_path):
     got, want = exact_rows(spark, "conv_bn_fold", tmp_path, {"embeddings": odd_vectors(spark)})
     assert got == want and "-0.0" in str(want)
+
+
+def test_half_precision_is_its_sql_to_the_sign(spark, tmp_path):
+    values = [249.9, 249.99, 250.0, 250.01, 250.1, 249.70197677612305, 381.03, 381.04, 118.96, 249 - 2.0**-11, 251 + 3 * 2.0**-11, 0.0, -0.0, math.inf, -math.inf, math.nan, None]
+    events = spark.createDataFrame([(3 * i + k, v) for k in range(3) for i, v in enumerate(values)] + [(None, 251.0), (-1, 251.0)], "event_id long, value double")
+    got, want = exact_rows(spark, "half_precision", tmp_path, {"events": events})
+    assert got == want and "-0.0" in str(want)

@@ -130,7 +130,7 @@ def half(x: Column) -> Column:
     """The nearest number of 16 bits (10 of fraction), ties to even; beyond 65504 infinity."""
     size = F.abs(x)
     step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)), F.lit(-14)) - 10)
-    near = F.bround(x / step) * step
+    near = F.rint(x / step) * step
     wide = F.when(x > 0, float("inf")).otherwise(float("-inf"))
     return F.when((size == 0) | F.isnan(x) | (size == float("inf")), x).when(size >= 65520, wide).otherwise(near)
 
