@@ -74,3 +74,8 @@ def test_half_precision_is_its_sql_to_the_sign(spark, tmp_path):
     events = spark.createDataFrame([(3 * i + k, v) for k in range(3) for i, v in enumerate(values)] + [(None, 251.0), (-1, 251.0)], "event_id long, value double")
     got, want = exact_rows(spark, "half_precision", tmp_path, {"events": events})
     assert got == want and "-0.0" in str(want)
+
+
+def test_normalize_channels_is_its_sql_to_the_sign(spark, tmp_path):
+    got, want = exact_rows(spark, "normalize_channels", tmp_path, {"embeddings": odd_vectors(spark)})
+    assert got == want and "-0.0" in str(want)
