@@ -79,3 +79,10 @@ def test_half_precision_is_its_sql_to_the_sign(spark, tmp_path):
 def test_normalize_channels_is_its_sql_to_the_sign(spark, tmp_path):
     got, want = exact_rows(spark, "normalize_channels", tmp_path, {"embeddings": odd_vectors(spark)})
     assert got == want and "-0.0" in str(want)
+
+
+def test_normalize_channels_is_its_sql_to_the_largest_doubles(spark, tmp_path):
+    sizes = [9.9e299, 1e300, 6.148202722298331e300, 1.4399307150384964e301, 1.1779538858209576e302, 1.79e302, 1.8e302, 1.7e308, math.inf, math.nan, None]
+    embeddings = spark.createDataFrame([(i, [s and sign * s] * 3, 0) for i, (s, sign) in enumerate((s, g) for s in sizes for g in (1, -1))], "vec_id long, embedding array<double>, label int")
+    got, want = exact_rows(spark, "normalize_channels", tmp_path, {"embeddings": embeddings})
+    assert got == want

@@ -17,9 +17,9 @@ def let(x: Column, use) -> Column:
 
 def rounded(x: Column, places: int = 6) -> Column:
     """As SQL rounds: times a power of ten, halves away from zero, and back. A small negative number becomes -0.0, where
-    F.round gives 0.0."""
+    F.round gives 0.0. A number too large to be multiplied stays as it is."""
     unit = 10.0**places
-    return F.when(F.abs(x) < 1e300, F.signum(x) * F.round(F.abs(x) * unit) / unit).otherwise(x)
+    return F.when(F.abs(x) * unit < float("inf"), F.signum(x) * F.round(F.abs(x) * unit) / unit).otherwise(x)
 
 
 def total(v: Column) -> Column:
